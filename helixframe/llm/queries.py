@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sequence import clean
 from ..runtime import table
-from . import spans
+from . import similar, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,3 +45,45 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_amounts(spark: SparkSession, d: str) -> DataFrame:
     """Shared characters of each record that shares any, with the count and the longest of its runs."""
     return p1_found(spark, d).groupBy("rec_id").agg(F.sum("span_len").alias("shared_chars"), F.count("*").alias("n_spans"), F.max("span_len").alias("longest"))
+
+
+# 3: near-duplicate records with small edits
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar.near_duplicates(table(spark, d, "cas13_sequences"), "id", clean("sequence"), t=0.7)
+
+
+@query
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    return similar.similarity_classes(table(spark, d, "cas13_sequences"), "id", clean("sequence"), t=0.7)
+
+
+# 4: same or near-same records across splits
+
+
+def _evaluation(spark: SparkSession, d: str) -> DataFrame:
+    cols = ["id", "sequence", "source"]
+    both = [table(spark, d, f"{s}_seqs").select(*cols, F.lit(s).alias("split_name")) for s in ("valid", "test")]
+    return both[0].unionByName(both[1])
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    ev = _evaluation(spark, d)
+    found = similar.cross_split(ev, table(spark, d, "train_seqs"), "id", clean("sequence"), t=0.6)
+    return found.join(ev.select(F.col("id").alias("eval_id"), "split_name").distinct(), "eval_id").select("split_name", "eval_id", "train_id")
+
+
+@query
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per split and source of the evaluation records: how many there are, how many overlap train, and in how many pairs."""
+    ev = _evaluation(spark, d)
+    # a record delivered again keeps the source of its rows; several sources of one record would count it under each
+    recs = ev.select(F.col("id").alias("eval_id"), "split_name", "source").distinct()
+    hits = p4_found(spark, d).groupBy("split_name", "eval_id").agg(F.count("*").alias("n"))
+    return (
+        recs.join(hits, ["split_name", "eval_id"], "left").groupBy("split_name", "source")
+        .agg(F.count("*").alias("n_records"), F.count("n").alias("n_overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
+    )
