@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import clean
 from ..runtime import table
-from . import similar, spans
+from . import bpe, groups, leak, similar, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,3 +87,68 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
         recs.join(hits, ["split_name", "eval_id"], "left").groupBy("split_name", "source")
         .agg(F.count("*").alias("n_records"), F.count("n").alias("n_overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
     )
+
+
+# 5: splits that keep related records together
+
+FRACTIONS = {"train": 0.90, "valid": 0.05, "test": 0.05}
+
+
+def _record_keys() -> list[Column]:
+    return [groups.key("operon_id", named="[0-9]"), groups.key("sha256", trim=False)]
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return groups.related_groups(table(spark, d, "cas13_sequences"), "id", _record_keys())
+
+
+@query
+def p5_split(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with its group, its stratification label (subtype) and its split."""
+    return groups.grouped_split(table(spark, d, "cas13_sequences"), "id", _record_keys(), F.col("subtype"), FRACTIONS)
+
+
+@query
+def p5_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Records and groups per split and label."""
+    return p5_split(spark, d).groupBy("split", "label").agg(F.count("*").alias("n_records"), F.count_distinct("group_id").alias("n_groups"))
+
+
+# 6: encoding with a public tokenizer
+
+
+@query
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(table(spark, d, "documents"))
+
+
+@query
+def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Per document: number of ids, and whether decoding them gives the text again (null counts as empty)."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs)
+    back = bpe.decode(ids).select("doc_id", F.col("text").alias("again"))
+    return (
+        docs.join(back, "doc_id").join(ids.select("doc_id", F.size("ids").alias("n_ids")), "doc_id")
+        .select("doc_id", "n_ids", (F.coalesce("text", F.lit("")) == F.col("again")).alias("same"))
+    )
+
+
+# 7: evaluation texts leaking into training text
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leak.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), n=12)
+
+
+@query
+def p7_passages(spark: SparkSession, d: str) -> DataFrame:
+    return leak.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"), n=12)
+
+
+@query
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per test item that leaks: in how many documents, and its longest leaked passage in words."""
+    return p7_passages(spark, d).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("n_words").alias("longest_words"))
