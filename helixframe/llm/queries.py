@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import clean
 from ..runtime import table
-from . import bpe, groups, leak, similar, spans
+from . import bpe, groups, leak, residue, similar, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -152,3 +152,25 @@ def p7_passages(spark: SparkSession, d: str) -> DataFrame:
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     """Per test item that leaks: in how many documents, and its longest leaked passage in words."""
     return p7_passages(spark, d).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("n_words").alias("longest_words"))
+
+
+# 8: template residue and error-page text
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents"))
+
+
+@query
+def p8_boilerplate(spark: SparkSession, d: str) -> DataFrame:
+    """The recurrent short lines of each host."""
+    return residue.boilerplate(table(spark, d, "documents"), "text", "source")
+
+
+@query
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Per host: documents, and how many are excluded."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("host"))
+    gone = p8_found(spark, d).withColumn("gone", F.lit(1))
+    return docs.join(gone, "doc_id", "left").groupBy("host").agg(F.count("*").alias("n_docs"), F.count("gone").alias("n_excluded"))
