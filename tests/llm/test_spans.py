@@ -50,6 +50,11 @@ def corpus(seed, alphabet, count):
     return rows
 
 
+def letters(seed, alphabet, count):
+    r = random.Random(seed)
+    return "".join(r.choice(alphabet) for _ in range(count))
+
+
 def test_random_corpora(spark):
     for seed, alphabet in ((1, "ACDEFGHIKLMNPQRSTVWY"), (2, "AB"), (3, "aé🙂ß")):
         rows = corpus(seed, alphabet, 60)
@@ -58,14 +63,14 @@ def test_random_corpora(spark):
 
 
 def test_hot_passage_copies_and_runs(spark):
-    hot = "".join(random.Random(5).choice("ACDEFGHIKL") for _ in range(90))
+    hot = letters(5, "ACDEFGHIKL", 90)
     rows = [(f"c{i}", hot) for i in range(40)] + [(f"e{i}", hot[: i + 20] + "X" + hot[i + 20 :]) for i in range(30)]
     rows += [("g1", "G" * 200), ("g2", "MG" + "G" * 80 + "A"), ("g3", "G" * 49)]
     assert run(spark, rows, 50) == brute(rows, 50)
 
 
 def test_nulls_empties_repeats_and_ties(spark):
-    t = "".join(random.Random(6).choice("ACDEFG") for _ in range(120))
+    t = letters(6, "ACDEFG", 120)
     rows = [("a", t), ("a", t), ("b", None), ("c", ""), (None, t), ("d", t[:49]), ("e", "q" * 10 + t[20:70])]
     assert run(spark, rows, 50) == {("a", 20, 50), ("e", 10, 50)}
     assert run(spark, [("a", t), ("a", t)], 50) == set()  # one record delivered twice shares nothing
@@ -73,7 +78,7 @@ def test_nulls_empties_repeats_and_ties(spark):
 
 
 def test_clashing_columns_and_long_texts(spark):
-    t = "".join(random.Random(7).choice("ACDEFG") for _ in range(200_000))
+    t = letters(7, "ACDEFG", 200_000)
     df = spark.createDataFrame([("a", t, 1, "x"), ("b", "zz" + t[1000:199_000], 2, "y")], "id string, text string, h int, places string")
     assert {tuple(r) for r in shared_spans(df).collect()} == {("a", 1000, 198_000), ("b", 2, 198_000)}
 
