@@ -19,7 +19,6 @@ def share(flag: Column) -> Column:
 def length_summary(n: Column, prefix: str = "len_") -> list[Column]:
     """min, 5 linearly interpolated percentiles, mean and max; 0 without rows. Exact: percentile keeps counts per value."""
     out = [F.min(n).cast("double").alias(f"{prefix}min")]
-    out += [F.expr("null")] * 0
     for name, p in (("p05", 0.05), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p95", 0.95)):
         out.append(F.percentile(n, F.lit(p)).alias(f"{prefix}{name}"))
     out += [F.avg(n).alias(f"{prefix}mean"), F.max(n).cast("double").alias(f"{prefix}max")]
