@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from . import nested
-
-Query = Callable[[SparkSession, str], DataFrame]
+from . import base, corpus, io, nested, pairs, scoring, stats  # noqa: F401 - registration
+from .base import Query
 
 
 def queries() -> dict[str, Query]:
-    return dict(nested.QUERIES)
+    return nested.QUERIES | base.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return nested.SQL | base.SQL

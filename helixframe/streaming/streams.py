@@ -13,12 +13,12 @@ def _run(stream, checkpoint: str):
 
 
 def read_stream(spark: SparkSession, path: str, kind: str = "parquet", schema=None, files_per_trigger: int | None = None) -> DataFrame:
-    """A file stream; its schema is the files' unless given (log files need one)."""
+    """A file stream; its schema is the files' unless given (log files need one). path may be a folder, a file or a pattern."""
     schema = schema or spark.read.format(kind).load(path).schema
     r = spark.readStream.schema(schema).format(kind)
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
-    return r.load(path)
+    return r.load(path if "*" in path else f"{path.rstrip('/')}*")  # only a pattern may stand for a single file
 
 
 def dedup_stream(spark: SparkSession, path: str, seq_col: str, out: str, checkpoint: str, kind: str = "parquet") -> DataFrame:
