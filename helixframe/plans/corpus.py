@@ -63,7 +63,7 @@ def length_range(spark: SparkSession, d: str) -> DataFrame:
     return records(spark, d).select("id", F.length("s").alias("n")).filter(F.col("n").between(200, 1500))
 
 
-@query(f"with {SQL_SPLITS} select split, id, length(upper(trim(seq)))::int as n from splits where {sql_canonical('upper(trim(seq))')} and length(trim(seq)) >= 50")
+@query(f"with {SQL_SPLITS} select split, id, length(t)::int as n from (select split, id, upper(trim(seq, ' ' || chr(9) || chr(10) || chr(13))) as t from splits) where {sql_canonical('t')} and length(t) >= 50")
 def canonical_reject(spark: SparkSession, d: str) -> DataFrame:
     """Sequences taken only if every letter is canonical."""
     s = F.upper(S.strip("seq"))
@@ -162,7 +162,7 @@ def any_field_records(spark: SparkSession, d: str) -> DataFrame:
     return C.any_field_records(t).select("id", "operon_id", "subtype", "gene_name", "hmm_name", "length", "protein")
 
 
-@query(f"""select sequence, length(sequence)::int as length, organism, system_type from (select sample_id, upper(trim(coalesce(g.sequence, g.protein, ''))) as sequence, coalesce(sample_id, '') as organism,
+@query(f"""select sequence, length(sequence)::int as length, organism, system_type from (select sample_id, upper(trim(coalesce(g.sequence, g.protein, ''), ' ' || chr(9) || chr(10) || chr(13))) as sequence, coalesce(sample_id, '') as organism,
  upper(coalesce(subtype, '')) as system_type from (select sample_id, summary.subtype as subtype, unnest(cas) as g from crispr_cas_atlas) where g is not null)
  where (contains(system_type, 'VI') or contains(system_type, 'CAS13')) and length(sequence) >= 50 and {sql_canonical('sequence')}""")
 def raw_typed_records(spark: SparkSession, d: str) -> DataFrame:

@@ -78,3 +78,58 @@ def p2_triples(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_operons, p2_genes, p2_domains, p2_motifs, p2_triples)}
 SQL: dict[str, str] = {}
+
+# The same tables in SQL. In atlas_raw a value counts as filled unless it is absent, null, or an empty array, object or text.
+
+_KIND = "case when json_type({j}, '{p}') = 'ARRAY' then json_extract({j}, '{p}') end"
+_FILLED = "json_type({j}, '$.cas') is not null and json_type({j}, '$.cas') <> 'NULL' and json_extract({j}, '$.cas')::varchar not in ('[]', '{{}}', '\"\"')"
+_ELEMENTS = "unnest(range(coalesce(json_array_length({a}), 0)::bigint)) as i, unnest(from_json({a}, '[\"json\"]')) as v"
+
+
+def _sql_raw() -> str:
+    roots = "case when json_type(j) = 'ARRAY' then j " + " ".join(f"when json_type(j, '$.{k}') = 'ARRAY' then json_extract(j, '$.{k}')" for k in N.ROOTS) + " when json_type(j) = 'OBJECT' and j::varchar <> '{}' then json_array(j) end"
+    step = lambda name, source, array, path: (
+        f"{name}_a as (select row_id, path as up, {array} as a from {source}), "
+        f"{name} as (select row_id, up, i::int as ordinal, {path} as path, v as j from (select row_id, up, {_ELEMENTS.format(a='a')} from {name}_a where a is not null) where json_type(v) = 'OBJECT')"
+    )
+    cas = "case when " + _FILLED.format(j="j") + " then " + _KIND.format(j="j", p="$.cas") + " else " + _KIND.format(j="j", p="$.cas_genes") + " end"
+    return (
+        "raw as (select row_id, null::varchar as path, payload::json as j from atlas_raw where json_valid(payload)), "
+        + step("op", "raw", roots, "i::varchar") + ", " + step("ge", "op", cas, "up || '.' || i") + ", "
+        + step("dm", "ge", _KIND.format(j="j", p="$.domains"), "up || '.' || i") + ", " + step("mt", "dm", _KIND.format(j="j", p="$.motifs"), "up || '.' || i")
+    )
+
+
+_TYPED = """tg as (select row_id, null::varchar as up, i::int as ordinal, i::varchar as path, v as g from (select row_id, unnest(range(len(a))) as i, unnest(a) as v from
+ (select row_id, case when len(cas) > 0 then cas else cas_genes end as a from crispr_cas_atlas)) where v is not null),
+ td as (select row_id, up, i::int as ordinal, up || '.' || i as path, v as g from (select row_id, path as up, unnest(range(len(g.domains))) as i, unnest(g.domains) as v from tg) where v is not null),
+ tm as (select row_id, up, i::int as ordinal, up || '.' || i as path, v as g from (select row_id, path as up, unnest(range(len(g.motifs))) as i, unnest(g.motifs) as v from td) where v is not null)"""
+
+
+def _sql_fields(level: N.Level) -> tuple[str, str]:
+    kind = {"double": "double", "int": "int", "bigint": "bigint"}
+    text = lambda f: f"json_extract_string(j, '$.{f}')"
+    raw = ", ".join(f"try_cast({text(f)} as {kind[RAW_TYPES[f]]}) as {f}" if f in RAW_TYPES else f"{text(f)} as {f}" for f in level.fields)
+    return ", ".join(f"g.{f} as {f}" for f in level.fields), raw
+
+
+def _sql_level(level: N.Level, typed: str, raw: str) -> str:
+    a, b = _sql_fields(level)
+    return (
+        f"with {_TYPED}, {_sql_raw()} select 'crispr_cas_atlas' as tbl, row_id, path as node_path, up as parent_path, ordinal, {a} from {typed} "
+        f"union all select 'atlas_raw' as tbl, row_id, path as node_path, up as parent_path, ordinal, {b} from {raw}"
+    )
+
+
+SQL |= {
+    "p2_found": f"with {_TYPED}, {_sql_raw()} "
+    + " union all ".join(f"select '{t}' as tbl, row_id, '{n}' as node_level, path as node_path from {s}" for t, n, s in (("crispr_cas_atlas", "gene", "tg"), ("crispr_cas_atlas", "domain", "td"), ("crispr_cas_atlas", "motif", "tm"), ("atlas_raw", "operon", "op"), ("atlas_raw", "gene", "ge"), ("atlas_raw", "domain", "dm"), ("atlas_raw", "motif", "mt"))),
+    "p2_genes": _sql_level(GENE, "tg", "ge"),
+    "p2_domains": _sql_level(DOMAIN, "td", "dm"),
+    "p2_motifs": _sql_level(MOTIF, "tm", "mt"),
+    "p2_operons": f"""with {_sql_raw()} select 'crispr_cas_atlas' as tbl, row_id, null::varchar as node_path, nullif(operon_id, '') as operon_id, summary.subtype as subtype, summary.subtype_score as subtype_score,
+ summary.n_genes as n_genes, summary.contig.contig_id as contig_id, summary.contig.length_bp as length_bp, summary.contig.strand as strand from crispr_cas_atlas union all
+ select 'atlas_raw', row_id, path, coalesce({", ".join(f"nullif(json_extract_string(j, '$.{k}'), '')" for k in ("operon_id", "id", "operon", "accession", "contig_id"))}), json_extract_string(j, '$.summary.subtype'),
+ json_extract_string(j, '$.summary.subtype_score'), try_cast(json_extract_string(j, '$.summary.n_genes') as int), json_extract_string(j, '$.summary.contig.contig_id'),
+ try_cast(json_extract_string(j, '$.summary.contig.length_bp') as bigint), json_extract_string(j, '$.summary.contig.strand') from op""",
+}
