@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import clean
 from ..runtime import table
-from . import bpe, groups, leak, residue, similar, spans
+from . import bpe, groups, leak, oracle, residue, similar, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 
 
 def query(f: Query) -> Query:
@@ -26,7 +25,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return dict(oracle.SQL)
 
 
 # 1: long exact spans shared between records
