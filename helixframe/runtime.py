@@ -25,9 +25,9 @@ def is_local(spark: SparkSession) -> bool:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of a cluster (once per application)."""
+    """Make this package importable in the Python workers (once per application), wherever they start."""
     sc = spark.sparkContext
-    if is_local(spark) or sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp()) / "helixframe_pkg.zip"  # served to executors by the driver
