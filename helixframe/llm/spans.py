@@ -7,7 +7,7 @@ Counting all n-windows would shuffle some forty bytes per character. Two levels
    n-windows have equal anchors, so a window can only recur where its anchor recurs. Anchors, about 2 / (n - k + 2) of
    the positions, are counted by min and max of the record: an aggregation, with map-side combine, never a list.
 2. Around recurring anchors the n-windows themselves are hashed and counted in the same way, within groups keyed by the
-   anchor and n/2 characters more, after equal surroundings have been combined. Window texts decide, not hashes of anchors.
+   anchor and n/2 characters more; equal surroundings are combined before the shuffle. Windows decide, not anchors.
 
 No pairs of records are formed at any time, so a passage held by a third of all records costs what any other costs.
 """
@@ -40,36 +40,60 @@ def _anchor_rows(n: int, k: int):
     return run
 
 
-def _contexts(n: int, k: int):
+def _contexts(n: int, k: int, combined: bool):
     """Per recurring anchor at p: the n-windows that hold it, as two stretches, each with its group key.
 
-    Windows that start at or before p - half share the half characters before the anchor, the others those after it."""
+    Windows that start at or before p - half share the half characters before the anchor, the others those after it.
+    combined: (key, ctx, lo, hi), equal stretches of a batch in one row with the least and the greatest record; else
+    (id, at, key, ch), where the stretch lies in its record and the hash of its text."""
     half = (n - k + 1) // 2
 
+    def stretches(text: str, places) -> Iterator[tuple[int, str, str]]:
+        last = len(text) - n
+        for p in {int(x) for x in places}:
+            if p + k > len(text):
+                continue  # a place of another record with the same short hash
+            lo, hi = max(0, p + k - n), min(p - half, last)
+            if lo <= hi:
+                yield lo, "<" + text[p - half : p + k], text[lo : hi + n]
+            lo, hi = max(0, p + k - n, p - half + 1), min(p, last)
+            if lo <= hi:
+                yield lo, ">" + text[p : p + k + half], text[lo : hi + n]
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
-            out: list[tuple] = []
+            b = b.drop_duplicates(["id", "text"])
+            seen: dict[tuple[str, str], list[int]] = {}
+            ids, at, keys, ctx = [], [], [], []
             for rid, rec, text, places in zip(b["id"], b["rec"], b["text"], b["places"]):
-                last = len(text) - n
-                for p in sorted({int(x) for x in places}):
-                    if p + k > len(text):
-                        continue  # a place of another record with the same short hash
-                    lo, hi = max(0, p + k - n), min(p - half, last)
-                    if lo <= hi:
-                        out.append((rid, rec, lo, "<" + text[p - half : p + k], text[lo : hi + n]))
-                    lo, hi = max(0, p + k - n, p - half + 1), min(p, last)
-                    if lo <= hi:
-                        out.append((rid, rec, lo, ">" + text[p : p + k + half], text[lo : hi + n]))
-            ids, recs, at, keys, ctx = zip(*out) if out else ((), (), (), (), ())
-            yield pd.DataFrame({"id": K.obj(ids), "rec": np.array(recs, dtype=np.int64), "at": np.array(at, dtype=np.int32), "key": K.obj(keys), "ctx": K.obj(ctx)})
+                for lo, key, c in stretches(text, places):
+                    if combined:
+                        both = seen.setdefault((key, c), [rec, rec])
+                        both[0], both[1] = min(both[0], rec), max(both[1], rec)
+                    else:
+                        ids.append(rid)
+                        at.append(lo)
+                        keys.append(key)
+                        ctx.append(c)
+            if combined:
+                keys, ctx = [x for x, _ in seen], [x for _, x in seen]
+                both = np.array(list(seen.values()), dtype=np.int64).reshape(-1, 2)
+                yield pd.DataFrame({"key": _hash(keys), "ctx": K.obj(ctx), "lo": both[:, 0], "hi": both[:, 1]})
+            else:
+                yield pd.DataFrame({"id": K.obj(ids), "at": np.array(at, dtype=np.int32), "key": _hash(keys), "ch": _hash(ctx)})
 
     return run
 
 
+def _hash(texts: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array(texts, dtype=object), categorize=False).view(np.int64)
+
+
 def _shared_starts(n: int):
     """Over stretches sorted by key: which windows of n occur in more than one record. Keys may run over several batches."""
 
     def solve(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.groupby(["key", "ctx"], sort=False, as_index=False).agg({"lo": "min", "hi": "max"})
         texts = p["ctx"].tolist()
         codes, off = K.concat(texts)
         h = K.rolling(codes, n)
@@ -85,7 +109,7 @@ def _shared_starts(n: int):
         row, start = row[good], (ok - off[row])[good]
         rows, at = np.unique(row, return_index=True)
         starts = [x.astype(np.int32) for x in np.split(start, at[1:])] if len(rows) else []
-        return pd.DataFrame({"key": p["key"].to_numpy()[rows], "ctx": K.obj([texts[i] for i in rows]), "starts": K.obj(starts)})
+        return pd.DataFrame({"key": p["key"].to_numpy()[rows], "ch": _hash([texts[i] for i in rows]), "starts": K.obj(starts)})
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -138,14 +162,10 @@ def shared_spans(records: DataFrame, id_col: str = "id", text_col: str = "text",
     short = F.shiftrightunsigned(F.xxhash64("id"), 20)  # names a record in level 1, where a clash only adds candidates to look at
     occ = base.select(short.alias("rec"), "text").mapInPandas(_anchor_rows(n, k), "h long, rec long, pos int")
     again = occ.groupBy("h").agg(F.min("rec").alias("a"), F.max("rec").alias("b")).filter("a <> b").select("h")
-    places = occ.join(again, "h", "left_semi").groupBy("rec").agg(F.collect_list("pos").alias("places"))
-    around = (
-        base.withColumn("short", short).join(places.withColumnRenamed("rec", "short"), "short")
-        .select("id", F.xxhash64("id").alias("rec"), "text", "places")
-        .mapInPandas(_contexts(n, k), "id string, rec long, at int, key string, ctx string")
-        .withColumn("key", F.xxhash64("key"))
-    )
-    distinct = around.groupBy("key", "ctx").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi"))
-    found = distinct.repartition("key").sortWithinPartitions("key").mapInPandas(_shared_starts(n), "key long, ctx string, starts array<int>")
-    starts = around.join(found, ["key", "ctx"]).select("id", F.explode(F.transform("starts", lambda x: x + F.col("at"))).alias("s"))
+    places = occ.join(again, "h", "left_semi").groupBy("rec").agg(F.collect_set("pos").alias("places"))
+    around = base.withColumn("short", short).join(places.withColumnRenamed("rec", "short"), "short").select("id", F.xxhash64("id").alias("rec"), "text", "places")
+    distinct = around.mapInPandas(_contexts(n, k, True), "key long, ctx string, lo long, hi long")
+    found = distinct.repartition("key").sortWithinPartitions("key").mapInPandas(_shared_starts(n), "key long, ch long, starts array<int>")
+    mine = around.mapInPandas(_contexts(n, k, False), "id string, at int, key long, ch long")
+    starts = mine.join(found, ["key", "ch"]).select("id", F.explode(F.transform("starts", lambda x: x + F.col("at"))).alias("s"))
     return starts.groupBy("id").agg(F.collect_set("s").alias("starts")).mapInPandas(_merge(n), OUT)
