@@ -40,7 +40,7 @@ def elements(chunks: Iterator[str]) -> Iterator[str]:
                 continue
             try:
                 _, end = decode(buf, at)
-                whole = end < len(buf) or ended or c in '{["'  # a number may go on in the next piece
+                whole = ended or c in '{["' or buf[end : end + 1] in tuple(" \t\r\n,]")  # a number may go on in the next piece
             except json.JSONDecodeError:
                 whole = False
             if whole:

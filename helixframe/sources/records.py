@@ -69,8 +69,8 @@ def _entries(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """id (the header's first word; a hash name if the header is bare), sequence (lines joined). Text before the first
-    header is dropped."""
-    e = _entries(spark, path).filter("header is not null")
+    header is dropped, and so are entries with neither id nor sequence."""
+    e = _entries(spark, path).filter("header is not null and (trim(header) <> '' or trim(body) <> '')")
     seq = F.regexp_replace("body", r"\s+", "")
     word = F.regexp_extract(F.trim("header"), r"^(\S+)", 1)
     return e.select(F.when(word != "", word).otherwise(F.concat(F.lit("seq_"), F.substring(F.sha2("body", 256), 1, 12))).alias("id"), seq.alias("sequence"))
