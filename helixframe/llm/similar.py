@@ -117,7 +117,7 @@ def copies(groups: DataFrame) -> DataFrame:
 
 def class_pairs(base: DataFrame, t: float, q: int, r: int, b: int, r2: int, b2: int) -> DataFrame:
     """Verified pairs (r1, r2) of representatives of different texts, in no particular order within a pair."""
-    occ = base.select("c", "t").mapInPandas(subset_rows(q, r, b, 1), "band long, c long")
+    occ = Stored(base.select("c", "t").mapInPandas(subset_rows(q, r, b, 1), "band long, c long")).df  # read twice
     again = occ.groupBy("band").agg(F.min("c").alias("a"), F.max("c").alias("z")).filter("a <> z").select("band")
     lists = Stored(occ.join(again, "band", "left_semi").distinct()).df
     texts = Stored(base.join(lists.select("c").distinct(), "c", "left_semi").groupBy("c", "t").agg(F.min("id").alias("rep"))).df
