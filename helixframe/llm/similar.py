@@ -8,6 +8,7 @@ Every pair found is verified on its texts."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,7 @@ def subset_rows(q: int, r: int, b: int, salt: int, coded: bool = False):
                 bands = np.stack([K.hash_rows(m[:, j * r : j * r + r], salt * 1000 + j) for j in range(b)], axis=1)
                 out = {"band": bands.reshape(-1).view(np.int64), "c": np.repeat(c, b)}
                 if coded:
-                    bits = (K.mix(m.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)[:, :120]
+                    bits = (K.mix(m[:, :120].astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
                     words = np.packbits(np.pad(bits, ((0, 0), (0, 128 - bits.shape[1]))), axis=1).view(np.int64)
                     out |= {"f1": np.repeat(words[:, 0], b), "f2": np.repeat(words[:, 1], b)}
                 yield pd.DataFrame(out)
@@ -114,48 +115,59 @@ def copies(groups: DataFrame) -> DataFrame:
 
 # Problem 3
 
+#: (r, b) of the subsets by level: sizes for which a pair of similarity 0.72, or 0.62, is missed with probability 2e-5 at most.
+LEVELS_72 = ((3, 24), (6, 72), (12, 560))
+LEVELS_62 = ((3, 40), (6, 185), (9, 800))
 
-def class_pairs(base: DataFrame, t: float, q: int, r: int, b: int, r2: int, b2: int) -> DataFrame:
+
+def class_pairs(base: DataFrame, t: float, q: int, levels: tuple[tuple[int, int], ...]) -> DataFrame:
     """Verified pairs (r1, r2) of representatives of different texts, in no particular order within a pair."""
-    occ = Stored(base.select("c", "t").mapInPandas(subset_rows(q, r, b, 1), "band long, c long")).df  # read twice
+    occ = Stored(base.select("c", "t").mapInPandas(subset_rows(q, *levels[0], 1), "band long, c long")).df  # read twice
     again = occ.groupBy("band").agg(F.min("c").alias("a"), F.max("c").alias("z")).filter("a <> z").select("band")
     lists = Stored(occ.join(again, "band", "left_semi").distinct()).df
     texts = Stored(base.join(lists.select("c").distinct(), "c", "left_semi").groupBy("c", "t").agg(F.min("id").alias("rep"))).df
-    light_most = 2 * b2 + 1  # n (n - 1) / 2 pairs of a light list cost no more than the n * b2 rows of a heavy one
-    sized = lists.join(lists.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "band")
-    light, heavy = sized.filter(F.col("n") <= light_most).select("band", "c"), sized.filter(F.col("n") > light_most).select("c").distinct()
-    larger = texts.join(heavy, "c", "left_semi").select("c", "t").mapInPandas(subset_rows(q, r2, b2, 2), "band long, c long")
-    lists2 = light.unionByName(larger)
-    pairs = lists2.select("band", F.col("c").alias("c1")).join(lists2.select("band", F.col("c").alias("c2")), "band").filter("c1 < c2").select("c1", "c2").distinct()
+    light = []
+    for k, (r, b) in enumerate(levels[1:], 2):
+        # n (n - 1) / 2 pairs of a light list cost no more than the n * b rows of a heavy one's members at the next level
+        sizes = lists.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+        sized = lists.join(sizes, "band")
+        heavy = sizes.filter(F.col("n") > 2 * b + 1)
+        if heavy.isEmpty():
+            break
+        light.append(sized.filter(F.col("n") <= 2 * b + 1).select("band", "c"))
+        members = sized.filter(F.col("n") > 2 * b + 1).select("c").distinct()
+        lists = Stored(texts.join(members, "c", "left_semi").select("c", "t").mapInPandas(subset_rows(q, r, b, k), "band long, c long").distinct()).df
+    every = reduce(DataFrame.unionByName, [*light, lists])
+    pairs = every.select("band", F.col("c").alias("c1")).join(every.select("band", F.col("c").alias("c2")), "band").filter("c1 < c2").select("c1", "c2").distinct()
     return verified(pairs, texts, texts, q, t)
 
 
-def near_duplicates(records: DataFrame, id_col: str, text: Column, t: float = 0.7, q: int = 5, r: int = 3, b: int = 24, r2: int = 6, b2: int = 72) -> DataFrame:
+def near_duplicates(records: DataFrame, id_col: str, text: Column, t: float = 0.7, q: int = 5, levels: tuple[tuple[int, int], ...] = LEVELS_72) -> DataFrame:
     """Pairs id_a < id_b of records whose texts share t or more of their distinct q-letter substrings.
 
-    Size-aware heavy-light join: every set enumerates b subsets of r elements; the inverted lists of subsets held by one
-    text only fall away in an aggregation. Light lists give their pairs. Lists so long that their pairs would cost more
-    than enumerating larger subsets (n > 2 b2 + 1) are heavy: their members are joined again by b2 subsets of r2 elements,
-    which only similar texts share, and the lists themselves are never paired. A pair of similarity 0.72 is missed with
-    probability 2e-5 at most (0.627^24 + 0.861^72).
+    Size-aware heavy-light join: every set enumerates 24 subsets of three elements; the inverted lists of subsets held by
+    one text only fall away in an aggregation. Light lists give their pairs. Lists so long that their pairs would cost more
+    than enumerating larger subsets are heavy: they are never paired, their members are joined by 72 subsets of six
+    elements, and where those lists are heavy again by 560 of twelve, which only similar texts share. A pair of similarity
+    0.72 is missed with probability 5e-5 at most. Other thresholds need other levels: (1 - t^r)^b.
 
     Null and empty texts, and null ids, are in no pair. Rows repeated under one id are one record. Equal texts are paired
     (see ALL_PAIRS for giant groups). Texts shorter than q letters pair only with their copies. An empty table gives none."""
     ship(records.sparkSession)
     base = classes(records, id_col, text)
     groups = membership(base).filter("m > 1")
-    found = expand(class_pairs(base, t, q, r, b, r2, b2), groups, groups)
+    found = expand(class_pairs(base, t, q, levels), groups, groups)
     both = found.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).unionByName(copies(groups).toDF("id_a", "id_b"))
     return both.filter("id_a < id_b").distinct()
 
 
-def similarity_classes(records: DataFrame, id_col: str, text: Column, t: float = 0.7, q: int = 5, r: int = 3, b: int = 24, r2: int = 6, b2: int = 72) -> DataFrame:
+def similarity_classes(records: DataFrame, id_col: str, text: Column, t: float = 0.7, q: int = 5, levels: tuple[tuple[int, int], ...] = LEVELS_72) -> DataFrame:
     """One row per record: id, class_id (least id with an equal text), n_copies, and n_links (other texts it is similar to).
 
     Records without a usable text are classes of their own without links."""
     ship(records.sparkSession)
     base = classes(records, id_col, text)
-    found = class_pairs(base, t, q, r, b, r2, b2)
+    found = class_pairs(base, t, q, levels)
     links = found.select(F.explode(F.array("r1", "r2")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     everyone = records.select(F.col(id_col).cast("string").alias("id")).filter("id is not null").distinct()
     return (
@@ -167,24 +179,39 @@ def similarity_classes(records: DataFrame, id_col: str, text: Column, t: float =
 # Problem 4
 
 
-def cross_split(evaluation: DataFrame, train: DataFrame, id_col: str, text: Column, t: float = 0.6, q: int = 5, r: int = 3, b: int = 40, radius: int = 48) -> DataFrame:
+def cross_split(evaluation: DataFrame, train: DataFrame, id_col: str, text: Column, t: float = 0.6, q: int = 5, levels: tuple[tuple[int, int], ...] = LEVELS_62, radius: int = 45) -> DataFrame:
     """Pairs (eval_id, train_id) whose texts are equal or share t or more of their distinct q-letter substrings.
 
     Similarity-hash fingerprints: 120 bits, each one bit of a min-wise value, so that bits differ with probability
-    (1 - s) / 2; the values' segments of r form b code blocks. Train blocks are reduced to those that occur in the
+    (1 - s) / 2; the values' segments of three form 40 code blocks. Train blocks are reduced to those that occur in the
     evaluation splits, blocks are joined across splits, pairs beyond the Hamming radius dropped, the rest verified on their
-    texts. A pair of similarity 0.62 is missed with probability 2e-5 (blocks) + 1e-7 (radius, 5.5 deviations).
+    texts. A block held by so many records of both sides that its pairs would cost more than longer blocks is not joined:
+    its records get 185 blocks of six values, and then 800 of nine. A pair of similarity 0.62 is missed with probability
+    6e-5 at most (blocks) + 1e-7 (radius, 5 deviations).
 
     Null ids and null or empty texts are in no pair; texts shorter than q letters pair only if equal; repeated rows count
     once. Only id_col and the columns of text are read. Either table empty gives none."""
     ship(train.sparkSession)
     e, n = classes(evaluation, id_col, text), classes(train, id_col, text)
-    rows = lambda d: d.select("c", "t").mapInPandas(subset_rows(q, r, b, 3, True), "band long, c long, f1 long, f2 long")
-    eb = Stored(rows(e).distinct()).df
-    hit = rows(n).join(eb.select("band").distinct(), "band", "left_semi").distinct()
-    x, y = eb.toDF("band", "c1", "a1", "a2"), hit.toDF("band", "c2", "b1", "b2")
+    rows = lambda d, k: d.select("c", "t").mapInPandas(subset_rows(q, *levels[k], 10 + k, True), "band long, c long, f1 long, f2 long")
     apart = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    pairs = Stored(x.join(y, "band").filter(apart <= radius).select("c1", "c2").distinct()).df
+    across = lambda x, y: x.toDF("band", "c1", "a1", "a2").join(y.toDF("band", "c2", "b1", "b2"), "band").filter(apart <= radius).select("c1", "c2")
+    found, ex, nx = [], e, n
+    for k in range(len(levels)):
+        eb = Stored(rows(ex, k).distinct()).df
+        hit = Stored(rows(nx, k).join(eb.select("band").distinct(), "band", "left_semi").distinct()).df
+        heavy = None
+        if k + 1 < len(levels):
+            size = lambda d, name: d.groupBy("band").agg(F.count("*").alias(name))
+            heavy = size(eb, "ne").join(size(hit, "nt"), "band").filter(F.col("ne") * F.col("nt") > levels[k + 1][1] * (F.col("ne") + F.col("nt"))).select("band")
+            heavy = None if heavy.isEmpty() else Stored(heavy).df
+        if heavy is None:
+            found.append(across(eb, hit))
+            break
+        found.append(across(eb.join(heavy, "band", "left_anti"), hit.join(heavy, "band", "left_anti")))
+        of = lambda d, b: d.join(b.join(heavy, "band", "left_semi").select("c").distinct(), "c", "left_semi")
+        ex, nx = of(e, eb), of(n, hit)
+    pairs = Stored(reduce(DataFrame.unionByName, found).distinct()).df
     texts = lambda d, k: d.join(pairs.select(F.col(k).alias("c")).distinct(), "c", "left_semi").groupBy("c", "t").agg(F.min("id").alias("rep"))
-    found = verified(pairs, texts(e, "c1"), texts(n, "c2"), q, t)
-    return expand(found, membership(e).filter("m > 1"), membership(n).filter("m > 1")).select(F.col("x").alias("eval_id"), F.col("y").alias("train_id"))
+    good = verified(pairs, texts(e, "c1"), texts(n, "c2"), q, t)
+    return expand(good, membership(e).filter("m > 1"), membership(n).filter("m > 1")).select(F.col("x").alias("eval_id"), F.col("y").alias("train_id"))

@@ -56,11 +56,26 @@ def test_heavy_lists_keep_every_link(spark):
     domain = text(80)
     rows = [(f"h{i:03d}", domain + text(160)) for i in range(300)]
     rows += [(f"k{i:03d}", rows[i][1][:-4]) for i in range(40)]
-    got = {tuple(x) for x in similar.near_duplicates(spark.createDataFrame(rows, "id string, s string"), "id", F.col("s"), b2=20).collect()}
+    got = {tuple(x) for x in similar.near_duplicates(spark.createDataFrame(rows, "id string, s string"), "id", F.col("s"), levels=((3, 24), (6, 20), (12, 300))).collect()}
     want = {(a, b) for a, x in rows for b, y in rows if a < b and near(x, y) >= 0.7}
     assert got == want and len(want) == 40
 
 
+def test_heavy_blocks_across_splits(spark):
+    r = random.Random(9)
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    text = lambda k: "".join(r.choice(letters) for _ in range(k))
+    domain = text(80)
+    tr = [(f"t{i:03d}", domain + text(160)) for i in range(240)]
+    ev = [(f"e{i:03d}", domain + text(160)) for i in range(60)] + [(f"f{i:03d}", tr[i][1][:-20]) for i in range(40)]
+    mk = lambda x: spark.createDataFrame(x, "id string, s string")
+    want = {(a, b) for a, x in ev for b, y in tr if near(x, y) >= 0.6}
+    assert len(want) == 40
+    for levels in (similar.LEVELS_62, ((3, 40), (6, 10), (9, 500)), ((3, 40), (6, 10), (9, 2))):
+        got = {tuple(x) for x in similar.cross_split(mk(ev), mk(tr), "id", F.col("s"), levels=levels).collect()}
+        assert got <= want and (got == want or levels[2][1] == 2)
+
+
 def test_copies_nulls_and_classes(spark, monkeypatch):
     t = family(3, 1, 1, 0)[0][1]
     rows = [("a", t, 1), ("b", t.lower() + "*", 2), ("b", t.lower() + "*", 3), ("c", None, 4), ("d", "", 5), (None, t, 6), ("e", "---", 7), ("f", t[:-2], 8), ("g", "ACD", 9), ("h", "ACD", 10)]
