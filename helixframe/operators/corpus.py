@@ -17,7 +17,9 @@ def genes(operons: DataFrame, keys: list[str], arrays: tuple[str, ...] = ("cas",
 
 
 def first_wins(df: DataFrame, key: list[str | Column], order: list[str | Column]) -> DataFrame:
-    """The first row of each key in the given order. Rows that tie in the order must be equal or it must be made total."""
+    """The first row of each key in the given order. Rows that tie in the order must be equal or it must be made total.
+
+    The filter on the rank becomes a group limit that runs before the shuffle too, so a hot key sends one row a task."""
     cols = df.columns
     best = df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
     return best.filter("__n = 1").select(*cols)
@@ -27,8 +29,8 @@ def duplicate_groups(df: DataFrame, key: str, order: list[str], carried: list[st
     """Per key: the first member's carried columns, n (members), the first member's order columns as first_<name>, and for
     each listed column (result name: column) its values in the first `sample` members.
 
-    The samples come from a rank within the key, so no group is ever collected beyond them; equal keys meet after a map-side
-    partial count."""
+    The samples come from a rank within the key, limited before the shuffle and after it, so no group is ever collected
+    beyond them; equal keys meet after a map-side partial count."""
     o = F.struct(*order)
     size = df.groupBy(key).agg(F.count("*").alias("n"), F.min_by(F.struct(*carried), o).alias("__first"), F.min(o).alias("__o"))
     few = df.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("__r") <= sample)
@@ -49,6 +51,17 @@ def with_ordinal(df: DataFrame, order: list[str | Column], name: str = "ord", st
     return one.join(F.broadcast(before.select("__p", "__b")), "__p").select(*cols, (F.col("__i") + F.col("__b") + start).alias(name))
 
 
+def with_running_total(df: DataFrame, order: list[str], weight: str, name: str = "before") -> DataFrame:
+    """The sum of weight over the rows before each one in a total order; like with_ordinal, no task gets all rows."""
+    cols = df.columns
+    one = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    one = one.withColumn("__p", F.shiftright("__id", 33))
+    local = F.sum(weight).over(Window.partitionBy("__p").orderBy("__id").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = one.groupBy("__p").agg(F.sum(weight).alias("__n"))
+    above = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    return one.withColumn("__l", F.coalesce(local, F.lit(0))).join(F.broadcast(above), "__p").select(*cols, (F.col("__l") + F.col("__b")).alias(name))  # one row a partition
+
+
 def hash_rank(key: Column, seed: int) -> Column:
     """A reproducible random order."""
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), key), 256)

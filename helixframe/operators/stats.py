@@ -45,16 +45,22 @@ def top_values(df: DataFrame, value: Column, order: list[str], k: int = 20) -> D
 
 
 def nearest_rank(df: DataFrame, value: Column, q: float, groups: list[str] | None = None) -> DataFrame:
-    """The sorted value number round-half-even((n - 1) * q); 0 without values. The rank is found over counts of distinct
-    values, which map-side combine has made small before any ordering."""
-    from pyspark.sql import Window
+    """The sorted value number round-half-even((n - 1) * q) of each group; 0 for no values at all (without groups).
+
+    Counts of distinct values are put in one global order by range partitions, so that no group has to fit into a task; a
+    group's ranks are its running totals less those of the groups before it. Null groups are a group."""
+    from .corpus import with_running_total
 
     g = groups or []
     counts = df.select(*g, value.cast("double").alias("v")).filter("v is not null").groupBy(*g, "v").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*g).orderBy("v") if g else Window.partitionBy(F.lit(1)).orderBy("v")
-    upto = counts.withColumn("hi", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy(*g) if g else Window.partitionBy(F.lit(1))))
-    at = F.rint((F.col("total") - 1) * F.lit(q))
-    hit = upto.filter((at < F.col("hi")) & (at >= F.col("hi") - F.col("n")))
+    t = with_running_total(counts, [*g, "v"], "n")
+    per = t.groupBy(*[F.col(c).alias(f"__{c}") for c in g]).agg(F.sum("n").alias("total"), F.min("before").alias("first"))
+    if g:
+        t = t.join(per, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in g])
+    else:
+        t = t.join(F.broadcast(per))  # one row
+    at, lo = F.rint((F.col("total") - 1) * F.lit(q)), F.col("before") - F.col("first")
+    hit = t.filter((at >= lo) & (at < lo + F.col("n")))
     return hit.groupBy(*g).agg(F.max("v").alias("value")) if g else hit.agg(F.coalesce(F.max("v"), F.lit(0.0)).alias("value"))
 
 

@@ -102,9 +102,12 @@ def read_records(spark: SparkSession, path: str, sequence_column: str = "sequenc
     return df.limit(limit) if limit else df
 
 
-def prompts(df: DataFrame, k: int, order: list[str], limit: int | None = None) -> DataFrame:
-    """prompt: the first k characters of each filled sequence, in order; at least one with a limit below 1."""
+def prompts(df: DataFrame, k: int, order: list[str], limit: int | None = None, default: str | None = None) -> DataFrame:
+    """prompt: the first k characters of each filled sequence, in order; at least one with a limit below 1. With a default,
+    that is the only prompt where no sequence is filled."""
     p = df.filter("sequence is not null and sequence <> ''").select(F.substring("sequence", 1, k).alias("prompt"), *order)
+    if default is not None and p.isEmpty():
+        return df.sparkSession.createDataFrame([(default,)], "prompt string")
     return p.orderBy(*order).limit(max(1, limit)) if limit is not None else p
 
 
@@ -137,3 +140,31 @@ def read_config(path: str) -> dict:
     except ImportError:
         return json.loads(text) if text.strip() else {}
     return yaml.safe_load(text) or {}
+
+
+def checked_config(config: dict, known: dict[str, set[str]]) -> dict:
+    """The settings, if all sections and their keys are known; a section that nothing reads is an error, not a default."""
+    for section, keys in config.items():
+        if section not in known:
+            raise ValueError(f"unknown section: {section}")
+        wrong = set(keys or {}) - known[section]
+        if wrong:
+            raise ValueError(f"unknown keys in {section}: {sorted(wrong)}")
+    return config
+
+
+def write_config(config: dict, path: str) -> None:
+    """Settings with sorted keys, as YAML if the library is there, else as JSON (which YAML readers take too)."""
+    try:
+        import yaml
+    except ImportError:
+        text = json.dumps(config, sort_keys=True, indent=2)
+    else:
+        text = yaml.safe_dump(config, sort_keys=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
+
+
+def write_calibration(quantiles: dict[str, tuple[float, float]], path: str) -> None:
+    """Ramps (low, high) by name, in the form that settings give them."""
+    write_config({"reward": {"calibration": {k: {"low": lo, "high": hi} for k, (lo, hi) in quantiles.items()}}}, path)

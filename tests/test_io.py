@@ -102,10 +102,22 @@ def test_training_log_and_config(spark, tmp_path):
     assert I.read_config(str(tmp_path / "c.json")) == {"a": {"b": 1}} and I.read_config(str(tmp_path / "e.json")) == {}
 
 
+def test_settings(tmp_path):
+    p = str(tmp_path / "cal.yaml")
+    I.write_calibration({"lm": (-5.0, -0.5)}, p)
+    assert I.read_config(p) == {"reward": {"calibration": {"lm": {"low": -5.0, "high": -0.5}}}}
+    known = {"reward": {"calibration"}}
+    assert I.checked_config(I.read_config(p), known)
+    for bad in ({"rewards": {}}, {"reward": {"callibration": 1}}):
+        with pytest.raises(ValueError, match="unknown"):
+            I.checked_config(bad, known)
+
+
 def test_prompts(spark):
     df = spark.createDataFrame([("b", "ACDEF"), ("a", "GHIKL"), ("c", None), ("d", "")], "id string, sequence string")
     assert [r.prompt for r in I.prompts(df, 3, ["id"], 0).collect()] == ["GHI"]
     assert {r.prompt for r in I.prompts(df, 3, ["id"]).collect()} == {"ACD", "GHI"}
+    assert [r.prompt for r in I.prompts(df.limit(0), 3, ["id"], default="M").collect()] == ["M"]
 
 
 def test_cache_table(spark, tmp_path):

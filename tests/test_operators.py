@@ -100,6 +100,32 @@ def test_nearest_rank_rounds_half_to_even(spark):
             assert A.nearest_rank(df, F.col("x"), q).first().value == vals[min(n - 1, max(0, round((n - 1) * q)))]
 
 
+def test_nearest_rank_of_groups(spark):
+    r = random.Random(5)
+    rows = [(r.choice(["a", "b", None]), float(r.randrange(40))) for _ in range(500)] + [("c", None), ("d", 7.0)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(6)
+    got = {x.g: x.value for x in A.nearest_rank(df, F.col("x"), 0.25, ["g"]).collect()}
+    for g in ("a", "b", None, "d"):
+        vals = sorted(v for k, v in rows if k == g and v is not None)
+        assert got.pop(g) == vals[round((len(vals) - 1) * 0.25)]
+    assert not got
+
+
+def test_running_totals(spark):
+    df = spark.range(200).select((F.col("id") * 37 % 200).alias("x"), (F.col("id") % 5).alias("w")).repartition(9)
+    rows = sorted((r.x, r.w, r.before) for r in C.with_running_total(df, ["x"], "w").collect())
+    assert [b for _, _, b in rows] == [sum(w for _, w, _ in rows[:i]) for i in range(200)]
+
+
+def test_first_rows_are_limited_before_the_shuffle(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").alias("o"), F.lit("x").alias("v"))
+    out = C.first_wins(df, ["k"], ["o"])
+    plan = out._jdf.queryExecution().executedPlan().toString()  # before it runs: afterwards it holds the first plan too
+    limits = [line for line in plan.splitlines() if "WindowGroupLimit" in line]
+    assert [x.rsplit(", ", 1)[1] for x in limits] == ["Final", "Partial"]
+    assert sorted(r.o for r in out.collect()) == [0, 1, 2]
+
+
 def test_bins_and_top(spark):
     df = spark.createDataFrame([(n,) for n in (0, 199, 200, 499, 850, 999, 1000, 1499, 1500, 9000)], "n int")
     assert [r.n for r in A.length_bins(spark, df, F.col("n")).orderBy("bin_ord").collect()] == [2, 2, 0, 2, 1, 1, 2]
