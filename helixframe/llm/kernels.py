@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 
@@ -29,6 +31,30 @@ def concat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, off
 
 
+def chunks(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` characters together (more if a single text is longer): bounds the arrays."""
+    lo, n = 0, 0
+    for i, t in enumerate(texts):
+        n += len(t)
+        if n >= most:
+            yield lo, i + 1
+            lo, n = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
+def pieces(texts: list[str], size: int, overlap: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts longer than size cut into pieces that overlap, so that every window of overlap + 1 lies in one of them: the
+    pieces, the text each comes from, and where in it each begins."""
+    out, row, at = [], [], []
+    for i, t in enumerate(texts):
+        for lo in range(0, max(1, len(t) - overlap), size - overlap) if len(t) > size else (0,):
+            out.append(t[lo : lo + size])
+            row.append(i)
+            at.append(lo)
+    return out, np.array(row, dtype=np.int64), np.array(at, dtype=np.int64)
+
+
 def rolling(codes: np.ndarray, k: int) -> np.ndarray:
     """Rabin-Karp hash of every window of k code points: sum c[i+j] * B^(k-1-j) mod 2^64, finalised.
 

@@ -29,8 +29,8 @@ def subset_rows(q: int, r: int, b: int, salt: int, coded: bool = False):
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in it:
-            for lo in range(0, len(batch), 500):
-                part = batch.iloc[lo : lo + 500]
+            for lo, hi in K.chunks(batch["t"].tolist(), 350_000):
+                part = batch.iloc[lo:hi]
                 codes, off = K.concat([t if len(t) >= q else t + "\0" * (q - len(t)) for t in part["t"]])
                 elements = K.rolling(codes, q)[K.inside(off, q)]
                 m = K.minima(elements, off - np.arange(len(off)) * (q - 1), chosen)

@@ -27,15 +27,16 @@ from . import kernels as K
 OUT = "rec_id string, span_start int, span_len int"
 
 
-def _anchor_rows(n: int, k: int):
+def _anchor_rows(n: int, k: int, most: int = 2_000_000):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
-            for lo in range(0, len(b), 2000):  # bounds the arrays; rows are independent
-                part = b.iloc[lo : lo + 2000]
-                codes, off = K.concat(part["text"].tolist())
+            texts, row, begin = K.pieces(b["text"].tolist(), most, n - 1)
+            rec = b["rec"].to_numpy()[row]
+            for lo, hi in K.chunks(texts, most):
+                codes, off = K.concat(texts[lo:hi])
                 at, h = K.anchors(codes, off, n, k)
-                row = np.searchsorted(off, at, side="right") - 1
-                yield pd.DataFrame({"h": h.view(np.int64), "rec": part["rec"].to_numpy()[row], "pos": (at - off[row]).astype(np.int32)})
+                p = np.searchsorted(off, at, side="right") - 1
+                yield pd.DataFrame({"h": h.view(np.int64), "rec": rec[lo + p], "pos": (at - off[p] + begin[lo + p]).astype(np.int32)})
 
     return run
 

@@ -2,11 +2,12 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from helixframe.llm import kernels as K
-from helixframe.llm.spans import shared_spans
+from helixframe.llm.spans import _anchor_rows, shared_spans
 
 
 def brute(rows, n):
@@ -83,6 +84,16 @@ def test_clashing_columns_and_long_texts(spark):
     assert {tuple(r) for r in shared_spans(df).collect()} == {("a", 1000, 198_000), ("b", 2, 198_000)}
 
 
+def test_pieces_of_long_texts():
+    r = random.Random(11)
+    texts = ["".join(r.choice("ACDE") for _ in range(n)) for n in (0, 5, 99, 100, 101, 1000)]
+    whole = _anchor_rows(30, 8, 10**9)
+    cut = _anchor_rows(30, 8, 100)
+    rows = lambda f: {tuple(x) for b in f(iter([pd.DataFrame({"rec": range(6), "text": texts})])) for x in b.itertuples(index=False)}
+    assert rows(whole) == rows(cut)
+    assert sum(hi - lo for lo, hi in K.chunks(texts, 100)) == 6 and list(K.chunks([], 5)) == []
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text("abc", max_size=30), max_size=6), st.integers(1, 9))
 def test_kernels(texts, k):
