@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..operators import corpus as C
+from ..operators import nested as N
 from ..runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,14 +101,20 @@ def splits(spark: SparkSession, d: str) -> DataFrame:
 SQL_SPLITS = "splits as (" + " union all ".join(f"select '{s}' as split, id, coalesce(sequence, '') as seq, source from (select *, row_number() over (partition by id order by loaded_at) as rn from {s}_seqs where id is not null) where rn = 1" for s in SPLITS) + ")"
 
 
-def genes(spark: SparkSession, d: str) -> DataFrame:
-    return C.genes(table(spark, d, "crispr_cas_atlas").select("row_id", "operon_id", "summary", "cas", "cas_genes"), ["row_id", "operon_id", "summary"])
+def operons(spark: SparkSession, d: str, *fields: str, arrays: tuple[str, ...] = ("cas", "cas_genes")) -> DataFrame:
+    """row_id, operon_id, summary and the gene arrays, of which only the named fields are read."""
+    return N.read_levels(spark, f"{d}/crispr_cas_atlas.parquet", ["row_id", "operon_id", "summary"], [N.Level("gene", arrays, fields)])
+
+
+def genes(spark: SparkSession, d: str, *fields: str) -> DataFrame:
+    return C.genes(operons(spark, d, *fields), ["row_id", "operon_id", "summary"])
 
 
 SQL_GENES = """genes as (select row_id, operon_id, summary, gene_index, gene from (select row_id, operon_id, summary,
   unnest(range(len(g)))::int as gene_index, unnest(g) as gene from (select row_id, operon_id, summary, case when len(cas) > 0 then cas else cas_genes end as g
   from crispr_cas_atlas)) where gene is not null)"""
 
+KEYWORD_FIELDS = ("gene_name", "hmm_name", "protein")
 KW = " or ".join(f"contains(coalesce(gene.{f}, ''), '{k}')" for f in ("gene_name", "hmm_name") for k in S.KEYWORDS)
 SQL_KEYWORD = f"""{SQL_GENES}, kw as (select row_id, gene_index, coalesce(nullif(operon_id, ''), 'operon_' || row_id) as operon_id, summary.subtype as subtype,
   summary.subtype_score as subtype_score, gene.gene_name as gene_name, gene.hmm_name as hmm_name, gene.protein as protein, {sql_clean("gene.protein")} as sequence,
@@ -115,4 +122,4 @@ SQL_KEYWORD = f"""{SQL_GENES}, kw as (select row_id, gene_index, coalesce(nullif
 
 
 def keyword(spark: SparkSession, d: str) -> DataFrame:
-    return C.keyword_corpus(table(spark, d, "crispr_cas_atlas").select("row_id", "operon_id", "summary", "cas", "cas_genes"))
+    return C.keyword_corpus(operons(spark, d, *KEYWORD_FIELDS))

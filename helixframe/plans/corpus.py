@@ -9,7 +9,7 @@ from ..functions import sequence as S
 from ..operators import corpus as C
 from ..operators import stats as A
 from ..runtime import table
-from .base import AA, SQL_GENES, SQL_KEYWORD, SQL_PROBLEM, SQL_RECORDS, SQL_SPLITS, genes, keyword, query, records, splits, sql_canonical, sql_clean, sql_validity
+from .base import AA, KEYWORD_FIELDS, SQL_GENES, SQL_KEYWORD, SQL_PROBLEM, SQL_RECORDS, SQL_SPLITS, genes, keyword, operons, query, records, splits, sql_canonical, sql_clean, sql_validity
 
 SUMMARY_SQL = """coalesce(min(length), 0)::double as len_min, coalesce(quantile_cont(length, 0.05), 0)::double as len_p05, coalesce(quantile_cont(length, 0.25), 0)::double as len_p25,
  coalesce(quantile_cont(length, 0.5), 0)::double as len_median, coalesce(quantile_cont(length, 0.75), 0)::double as len_p75, coalesce(quantile_cont(length, 0.95), 0)::double as len_p95,
@@ -40,21 +40,22 @@ def prefix_filter(spark: SparkSession, d: str) -> DataFrame:
     return t.filter(S.starts_with_type("subtype", "subtype_score"))
 
 
-ANY9 = " or ".join(f"contains(lower(coalesce(gene.{f}, '')), 'cas9')" for f in ("gene_name", "hmm_name", "product", "annotation"))
+ANNOTATIONS = ("gene_name", "hmm_name", "product", "annotation")
+ANY9 = " or ".join(f"contains(lower(coalesce(gene.{f}, '')), 'cas9')" for f in ANNOTATIONS)
 
 
 @query(f"with {SQL_GENES} select row_id, gene_index, gene.gene_name as gene_name from genes where {ANY9}")
 def any_field_ci_filter(spark: SparkSession, d: str) -> DataFrame:
-    g = genes(spark, d)
-    return g.filter(S.has_keyword_any_case("cas9", *[f"gene.{f}" for f in ("gene_name", "hmm_name", "product", "annotation")])).select("row_id", "gene_index", F.col("gene.gene_name").alias("gene_name"))
+    g = genes(spark, d, *ANNOTATIONS)
+    return g.filter(S.has_keyword_any_case("cas9", *[f"gene.{f}" for f in ANNOTATIONS])).select("row_id", "gene_index", F.col("gene.gene_name").alias("gene_name"))
 
 
 @query(f"""with {SQL_GENES} select row_id, gene_index, summary.subtype as subtype, gene.gene_name as gene_name from genes
  where regexp_matches(upper(coalesce(summary.subtype, '')), '^II($|[-_])') and not ({ANY9}) order by row_id, gene_index limit 20""")
 def subtype_without_keyword(spark: SparkSession, d: str) -> DataFrame:
     """The first 20 genes of type II operons that don't name the keyword (a top-k report)."""
-    g = genes(spark, d).filter(F.upper(S.text("summary.subtype")).rlike("^II($|[-_])"))
-    g = g.filter(~S.has_keyword_any_case("cas9", *[f"gene.{f}" for f in ("gene_name", "hmm_name", "product", "annotation")]))
+    g = genes(spark, d, *ANNOTATIONS).filter(F.upper(S.text("summary.subtype")).rlike("^II($|[-_])"))
+    g = g.filter(~S.has_keyword_any_case("cas9", *[f"gene.{f}" for f in ANNOTATIONS]))
     return g.select("row_id", "gene_index", F.col("summary.subtype").alias("subtype"), F.col("gene.gene_name").alias("gene_name")).orderBy("row_id", "gene_index").limit(20)
 
 
@@ -74,7 +75,7 @@ def canonical_reject(spark: SparkSession, d: str) -> DataFrame:
  {sql_clean("gene.sequence", AA + "X")} as c2 from genes)""")
 def protein_fallback(spark: SparkSession, d: str) -> DataFrame:
     """The first filled of the protein fields, with X kept; empty if none."""
-    return genes(spark, d).select("row_id", "gene_index", S.first_filled(S.clean_with_x("gene.protein"), S.clean_with_x("gene.sequence")).alias("protein"))
+    return genes(spark, d, "protein", "sequence").select("row_id", "gene_index", S.first_filled(S.clean_with_x("gene.protein"), S.clean_with_x("gene.sequence")).alias("protein"))
 
 
 @query("""select row_id, try_cast(summary.subtype_score as double) as as_number, coalesce(try_cast(summary.subtype_score as double),
@@ -124,8 +125,7 @@ FIRST = "row_number() over (partition by sha256 order by row_id, gene_index) as
  from one join ids using (sha256)""")
 def keyword_records(spark: SparkSession, d: str) -> DataFrame:
     """The deduplicated corpus with ordinals and samples of the copies' operons."""
-    t = table(spark, d, "crispr_cas_atlas").select("row_id", "operon_id", "summary", "cas", "cas_genes")
-    return C.keyword_records(t).select("id", "operon_id", "subtype", "gene_name", "hmm_name", "length", "duplicate_count", F.array_join("duplicate_operon_ids_sample", "|").alias("duplicate_operon_ids"), "sha256")
+    return C.keyword_records(operons(spark, d, *KEYWORD_FIELDS)).select("id", "operon_id", "subtype", "gene_name", "hmm_name", "length", "duplicate_count", F.array_join("duplicate_operon_ids_sample", "|").alias("duplicate_operon_ids"), "sha256")
 
 
 @query(f"with {SQL_KEYWORD} select n as group_size, count(*) as n_groups from (select count(*) as n from kw where sequence <> '' group by sha256) group by n")
@@ -158,7 +158,7 @@ def corpus_counters(spark: SparkSession, d: str) -> DataFrame:
  one as (select *, row_number() over (order by row_id, gene_index) as o from (select *, row_number() over (partition by protein order by row_id, gene_index) as k from c where protein <> '') where k = 1)
  select 'cas9_' || lpad(o::varchar, 6, '0') as id, operon_id, subtype, gene_name, hmm_name, length(protein)::int as length, protein from one""")
 def any_field_records(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "crispr_cas_atlas").select("row_id", "operon_id", "summary", "cas")
+    t = operons(spark, d, *ANNOTATIONS, "protein", "sequence", arrays=("cas",))
     return C.any_field_records(t).select("id", "operon_id", "subtype", "gene_name", "hmm_name", "length", "protein")
 
 
