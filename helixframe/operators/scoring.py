@@ -41,7 +41,9 @@ def scorer(kind: str, mode: str) -> Callable[[Column], Column]:
 
 
 def config_hash(config: dict) -> str:
-    return hashlib.sha256(json.dumps(config, ensure_ascii=True, sort_keys=True, default=str).encode()).hexdigest()
+    """Names a configuration: equal settings in any order give the same hash."""
+    canonical = json.dumps(config, sort_keys=True, separators=(",", ":"))
+    return hashlib.sha256(canonical.encode()).hexdigest()
 
 
 def external_scores(df: DataFrame, seq_col: str, score: Callable[[list[str]], list[dict]], fields: str, batch: int = 64) -> DataFrame:
