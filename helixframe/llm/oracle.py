@@ -38,7 +38,7 @@ SQL = {
     "p1_amounts": f"{_SPANS} select rec_id, sum(span_len)::bigint as shared_chars, count(*) as n_spans, max(span_len) as longest from spans group by rec_id",
     "p3_found": f"with {_SIMILAR} select a as id_a, b as id_b from near",
     "p3_classes": f"""with {_SIMILAR}, cls as (select id, min(id) over (partition by s) as class_id, count(*) over (partition by s) as n_copies from recs),
- both as (select a as p, b as q from near union all select b, a from near), lk as (select x.class_id as c, count(distinct y.class_id) as n from both join cls x on x.id = p join cls y on y.id = q where x.class_id <> y.class_id group by 1)
+ ends as (select a as p, b as q from near union all select b, a from near), lk as (select x.class_id as c, count(distinct y.class_id) as n from ends join cls x on x.id = p join cls y on y.id = q where x.class_id <> y.class_id group by 1)
  select r.id, coalesce(class_id, r.id) as class_id, coalesce(n_copies, 1)::bigint as n_copies, coalesce(n, 0)::bigint as n_links from (select distinct id from cas13_sequences where id is not null) r
  left join cls on cls.id = r.id left join lk on lk.c = cls.class_id""",
     "p4_found": f"with {_ACROSS} select * from found",
