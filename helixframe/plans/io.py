@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..operators import corpus as C
-from ..runtime import shared_dir, table
+from ..runtime import scratch, shared_dir, table
 from ..sources import json_array as J
 from ..sources import records as I
 from ..sources import sinks as W
@@ -17,27 +15,23 @@ from ..streaming import streams as T
 from .base import SQL_RECORDS, SQL_SPLITS, query, records, splits
 
 
-def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/io-{uuid.uuid4().hex}"
-
-
 @query(f"with {SQL_RECORDS} select id, s as sequence from recs where s <> ''")
 def fasta_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    p = _folder(spark)
+    p = scratch(spark)
     W.write_fasta(records(spark, d).filter("s <> ''").select("id", F.col("s").alias("sequence"), "subtype"), p)
     return I.read_fasta(spark, p)
 
 
 @query(f"with {SQL_RECORDS} select id, s as sequence from recs where s <> ''")
 def fasta_piped_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    p = _folder(spark)
+    p = scratch(spark)
     W.write_fasta_piped(records(spark, d).filter("s <> ''").select("id", F.regexp_replace("operon_id", r"\s", "").alias("operon_id"), F.regexp_replace("gene_name", r"\s", "").alias("gene_name"), F.regexp_replace("hmm_name", r"\s", "").alias("hmm_name"), F.col("s").alias("protein")), p)
     return I.read_fasta(spark, p).select(F.element_at(F.split("id", r"\|"), 1).alias("id"), "sequence")
 
 
 @query(f"with {SQL_RECORDS} select id, s as sequence from recs")
 def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    p = _folder(spark)
+    p = scratch(spark)
     W.write_csv(records(spark, d).withColumn("sequence", F.col("s")), p, W.KEYWORD_FIELDS)
     return I.read_csv(spark, p, "sequence", "id").select("id", S.text("sequence").alias("sequence"))
 
@@ -45,7 +39,7 @@ def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 @query("select id, sequence from train_seqs where id is not null")
 def jsonl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Nulls are written and come back."""
-    p = _folder(spark)
+    p = scratch(spark)
     W.write_jsonl(table(spark, d, "train_seqs").filter("id is not null").select("id", "sequence"), p)
     return I.read_jsonl(spark, p, "id string, sequence string")
 
@@ -53,7 +47,7 @@ def jsonl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 @query("select id, trim(sequence) as sequence from candidates where sequence is not null and trim(sequence) <> ''")
 def jsonl_tolerant(spark: SparkSession, d: str) -> DataFrame:
     """Broken lines are passed over, blank sequences dropped."""
-    p = _folder(spark)
+    p = scratch(spark)
     t = table(spark, d, "candidates")
     W.write_jsonl(t.select("id", "sequence"), p)
     t.limit(5).select(F.lit('{"id": "broken').alias("value")).write.mode("append").text(p)
@@ -124,7 +118,7 @@ def _local(spark: SparkSession) -> str:
 @query("with g as (select row_id, case when len(cas) > 0 then cas end as c from crispr_cas_atlas) select row_id, len(c)::int as n_entries from g where c is not null")
 def nested_export(spark: SparkSession, d: str) -> DataFrame:
     """Operons written as nested JSON lines and read with a schema."""
-    p = _folder(spark)
+    p = scratch(spark)
     t = table(spark, d, "crispr_cas_atlas").filter(F.size("cas") > 0).select("row_id", "cas")
     W.write_jsonl(t, p)
     return spark.read.schema(t.schema).json(p).select("row_id", F.size("cas").alias("n_entries"))
@@ -136,7 +130,7 @@ def nested_export(spark: SparkSession, d: str) -> DataFrame:
  and (regexp_replace(upper(coalesce(g.protein, '')), '[^ACDEFGHIKLMNPQRSTVWYX]', '', 'g') <> '' or regexp_replace(upper(coalesce(g.sequence, '')), '[^ACDEFGHIKLMNPQRSTVWYX]', '', 'g') <> '')""")
 def nested_record_export(spark: SparkSession, d: str) -> DataFrame:
     """Records with their source object embedded, keys sorted; the object is read out of the file again."""
-    p = _folder(spark)
+    p = scratch(spark)
     t = table(spark, d, "crispr_cas_atlas").select("row_id", "operon_id", "summary", "cas")
     r = C.any_field_records(t)
     W.write_nested(r.withColumn("operon_id", F.concat_ws(":", F.col("row_id").cast("string"), F.col("gene_index").cast("string"))), p)
@@ -148,7 +142,7 @@ def nested_record_export(spark: SparkSession, d: str) -> DataFrame:
 @query("select vec_id, round(avg(v), 3) as mean_plddt, count(*) as atoms from (select vec_id, round(abs(unnest(embedding)::double) * 100, 2) as v from embeddings) group by vec_id")
 def structure_files(spark: SparkSession, d: str) -> DataFrame:
     """Fixed-width structure files, one a record, matched by id."""
-    p = _folder(spark)
+    p = scratch(spark)
     t = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
     line = F.concat(F.lit("ATOM  "), F.lpad(F.col("i").cast("string"), 5, " "), F.lpad(F.lit(""), 49, " "), F.format_string("%6.2f", F.round(F.abs(F.col("x").cast("double")) * 100, 2)))
     text = t.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("i", line.alias("l")))).alias("a")).select("vec_id", F.explode(F.concat(F.array(F.lit("HEADER")), F.transform("a", lambda x: x["l"]), F.array(F.lit("ATOM  short line"), F.lit("END")))).alias("value"))
@@ -160,7 +154,7 @@ def structure_files(spark: SparkSession, d: str) -> DataFrame:
 @query("select event_id as step, round(value, 6) as loss from events where value is not null order by event_id limit 500")
 def training_log(spark: SparkSession, d: str) -> DataFrame:
     """A trainer's state file, read and filtered (500 entries: such files are small)."""
-    p = _folder(spark)
+    p = scratch(spark)
     t = table(spark, d, "events").filter("value is not null").orderBy("event_id").limit(500)
     h = t.select(F.struct(F.col("event_id").alias("step"), F.col("value").alias("loss")).alias("h")).agg(F.collect_list("h").alias("log_history"))
     h.write.json(p)
@@ -170,7 +164,7 @@ def training_log(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {SQL_SPLITS} select count(*) as n, count(distinct seq) as n_unique, count(*) filter (where split = 'train') as train, count(*) filter (where split = 'valid') as valid, count(*) filter (where split = 'test') as test from splits")
 def split_report(spark: SparkSession, d: str) -> DataFrame:
     """A one-row report through its JSON file."""
-    p = _folder(spark)
+    p = scratch(spark)
     r = splits(spark, d).agg(F.count("*").alias("n"), F.count_distinct("seq").alias("n_unique"), *[F.count_if(F.col("split") == s).alias(s) for s in ("train", "valid", "test")])
     W.write_report(r, p)
     return spark.read.schema(r.schema).json(p)
@@ -182,18 +176,18 @@ def split_report(spark: SparkSession, d: str) -> DataFrame:
 @query("select distinct sha256(regexp_replace(upper(coalesce(sequence, '')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g')) as sha256 from cas13_sequences where regexp_replace(upper(coalesce(sequence, '')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') <> ''")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Which row of a key arrives first depends on the files; which keys there are doesn't."""
-    p = _folder(spark)
+    p = scratch(spark)
     return T.dedup_stream(spark, f"{d}/cas13_sequences.parquet", "sequence", f"{p}/out", f"{p}/checkpoint").select("sha256")
 
 
 @query("select event_type, count(*) as n, round(avg(value), 6) as mean, min(value) as min, max(value) as max from events group by 1")
 def stream_metrics(spark: SparkSession, d: str) -> DataFrame:
-    p = _folder(spark)
+    p = scratch(spark)
     return T.metrics_stream(spark, f"{d}/events.parquet", "event_type", "value", f"{p}/out", f"{p}/checkpoint").withColumn("mean", F.round("mean", 6))
 
 
 @query()
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Daily counts by type behind a watermark; the last windows stay open."""
-    p = _folder(spark)
+    p = scratch(spark)
     return T.windowed_counts(spark, f"{d}/events.parquet", "ts", "event_type", "1 day", "1 hour", f"{p}/out", f"{p}/checkpoint")

@@ -55,17 +55,22 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed when the application ends."""
+    path = f"{shared_dir(spark)}/hf-{uuid.uuid4().hex}"
+    atexit.register(_quiet_delete, spark, path)
+    return path
+
+
 class Stored:
     """A DataFrame written once to the shared folder and read back, so that its lineage ends at replicated files.
 
     Unlike checkpoint() the plan is computed once and the result stays columnar."""
 
     def __init__(self, df: DataFrame):
-        spark = df.sparkSession
-        self.path = f"{shared_dir(spark)}/hf-{uuid.uuid4().hex}"
+        self.path = scratch(df.sparkSession)
         df.write.parquet(self.path)
-        self.df = spark.read.schema(df.schema).parquet(self.path)
-        atexit.register(_quiet_delete, spark, self.path)
+        self.df = df.sparkSession.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         _quiet_delete(self.df.sparkSession, self.path)
