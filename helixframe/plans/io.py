@@ -151,16 +151,20 @@ def structure_files(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("vec_id").agg(F.round(F.sum(F.col("mean_plddt") * F.col("atoms")) / F.sum("atoms"), 3).alias("mean_plddt"), F.sum("atoms").alias("atoms"))
 
 
-@query("select event_id as step, round(value, 6) as loss from events where value is not null order by event_id limit 500")
-def training_log(spark: SparkSession, d: str) -> DataFrame:
-    """A trainer's state file, read and filtered (500 entries: such files are small)."""
+@query("select event_id as step, round(value, 6) as loss from events where value is not null")
+def training_log_whole(spark: SparkSession, d: str) -> DataFrame:
+    """A trainer's log of all events, in state files of bounded size, all of them read again."""
     p = scratch(spark)
-    t = table(spark, d, "events").filter("value is not null").orderBy("event_id").limit(500)
-    h = t.select(F.struct(F.col("event_id").alias("step"), F.col("value").alias("loss")).alias("h")).agg(F.collect_list("h").alias("log_history"))
-    h.write.json(p)
+    W.write_training_log(table(spark, d, "events"), p, "event_id", "value")
     return I.read_training_log(spark, p).select("step", F.round("loss", 6).alias("loss"))
 
 
+@query("select event_id as step, round(value, 6) as loss from events where value is not null order by event_id limit 500")
+def training_log(spark: SparkSession, d: str) -> DataFrame:
+    """The first 500 steps, as its SQL has it, of the whole log: every event is written and read."""
+    return training_log_whole(spark, d).orderBy("step").limit(500)
+
+
 @query(f"with {SQL_SPLITS} select count(*) as n, count(distinct seq) as n_unique, count(*) filter (where split = 'train') as train, count(*) filter (where split = 'valid') as valid, count(*) filter (where split = 'test') as test from splits")
 def split_report(spark: SparkSession, d: str) -> DataFrame:
     """A one-row report through its JSON file."""

@@ -1,4 +1,4 @@
-"""Writers: JSON lines with explicit nulls, FASTA, CSV with fixed columns, nested JSON, reports, and the score cache."""
+"""Writers: JSON lines with explicit nulls, FASTA, CSV with fixed columns, nested JSON, reports, training logs, and the score cache."""
 
 from __future__ import annotations
 
@@ -61,6 +61,16 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_training_log(df: DataFrame, path: str, step: str, loss: str, most: int = 10_000) -> None:
+    """Trainer state files of about `most` entries each, in a folder of their own; rows with a null loss are no entries.
+
+    Entries are dealt to the files by the hash of the whole row, so that no file, and no row of collect_list, grows with the log."""
+    t = df.filter(F.col(loss).isNotNull()).select(F.col(step).alias("step"), F.col(loss).alias("loss"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("h"))
+    files = max(1, -(-t.count() // most))
+    h = t.select(F.pmod("h", F.lit(files)).alias("file"), F.struct("step", "loss").alias("entry")).groupBy("file").agg(F.collect_list("entry").alias("log_history"))
+    h.write.mode("overwrite").partitionBy("file").json(path)
+
+
 def append_cache(df: DataFrame, path: str) -> None:
     """New scores for the cache table, with the time of writing; readers take the latest row of a key."""
     df.withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")).write.mode("append").parquet(path)

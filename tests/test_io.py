@@ -102,6 +102,24 @@ def test_training_log_and_config(spark, tmp_path):
     assert I.read_config(str(tmp_path / "c.json")) == {"a": {"b": 1}} and I.read_config(str(tmp_path / "e.json")) == {}
 
 
+def test_training_log_is_written_whole_in_bounded_files(spark, tmp_path):
+    p = str(tmp_path / "log")
+    rows = [(i, None if i == 7 else i / 4) for i in range(1000)]
+    W.write_training_log(spark.createDataFrame(rows, "event_id bigint, value double"), p, "event_id", "value", most=100)
+    sizes = [len(json.loads(f.read_text())["log_history"]) for f in (tmp_path / "log").rglob("*.json")]
+    assert len(sizes) == 10 and sum(sizes) == 999 and max(sizes) < 200
+    assert sorted((r.step, r.loss) for r in I.read_training_log(spark, p).collect()) == [r for r in rows if r[0] != 7]
+
+
+def test_training_log_query_writes_every_event(spark, data, monkeypatch):
+    from helixframe.plans import io as P
+
+    read = []
+    monkeypatch.setattr(P.I, "read_training_log", lambda s, p, old=I.read_training_log: read.append(old(s, p)) or read[-1])
+    assert P.training_log(spark, data).count() == 500
+    assert read[0].count() == spark.read.parquet(f"{data}/events.parquet").filter("value is not null").count()
+
+
 def test_settings(tmp_path):
     p = str(tmp_path / "cal.yaml")
     I.write_calibration({"lm": (-5.0, -0.5)}, p)
