@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import Stored, scratch, ship
 
 # Words and phrases of error pages, script notices and fillers in four languages.
 ERROR = r"""
@@ -136,6 +136,12 @@ def evidence(unit: str) -> bool:
     return bool(ERROR.search(unit) or FILLER.search(unit) or (SCRIPT.search(unit) and SCRIPT_NEED.search(unit)))
 
 
+def bare(text: str) -> str:
+    """The lower-case text without ids and markup; code blocks stay: what they hold is content."""
+    t = html.unescape(TAG.sub("\n", text)).replace("​", " ").lower()
+    return "\n".join(HEX.sub("#", x) for x in t.split("\n"))
+
+
 class Judge:
     def __init__(self, boilerplate: list[str]):
         import ahocorasick
@@ -148,24 +154,33 @@ class Judge:
                 self.auto.add_word(x, len(x))
             self.auto.make_automaton()
 
-    def without_boilerplate(self, text: str) -> str:
+    def places(self, text: str) -> list[tuple[int, int]]:
+        """Where lines stand in the text as whole words: start and end, the longest first of those that start together.
+
+        Lines that aren't in the text have no bearing on it (as they may have in the automaton's own longest matches)."""
         if self.auto is None:
-            return text
+            return []
+        ends = ((end + 1 - size, end + 1) for end, size in self.auto.iter(text))
+        return sorted(((lo, hi) for lo, hi in ends if (lo == 0 or not text[lo - 1].isalnum()) and (hi == len(text) or not text[hi].isalnum())), key=lambda x: (x[0], -x[1]))
+
+    def without_boilerplate(self, text: str) -> str:
         out, at = [], 0
-        for end, size in self.auto.iter_long(text):
-            lo = end + 1 - size
-            if (lo == 0 or not text[lo - 1].isalnum()) and (end + 1 == len(text) or not text[end + 1].isalnum()):
+        for lo, hi in self.places(text):
+            if lo >= at:
                 out.append(text[at:lo])
-                at = end + 1
+                at = hi
         return "\n".join([*out, text[at:]])
 
+    def occurring(self, text: str) -> set[str]:
+        """The lines that stand in a document's text."""
+        t = bare(text)
+        return {t[lo:hi] for lo, hi in self.places(t)}
+
     def replaced(self, text: str) -> bool:
         """Is the whole text error page, script notice or filler, with or without heading, furniture and markup around it?"""
         if LOG.match(text):
             return False
-        # markup goes, code blocks stay: what they hold is content
-        t = html.unescape(TAG.sub("\n", text)).replace("​", " ").lower()
-        t = self.without_boilerplate("\n".join(HEX.sub("#", x) for x in t.split("\n")))
+        t = self.without_boilerplate(bare(text))
         proof = other = 0
         for unit in CUT.split(t):
             if other > 6:
@@ -204,21 +219,24 @@ def _few(hosts: DataFrame, most: int = 100_000) -> bool:
     return hosts.limit(most + 1).count() <= most
 
 
-#: Recurrent lines up to this many (60 characters each at most) are broadcast as one set; more of them stay with their host.
+#: Recurrent lines (60 characters each at most) that are broadcast at once; more of them are looked for block by block.
 BROADCAST_LINES = 100_000
 
 
 def residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The ids (distinct) of documents to exclude: see the module's text.
 
-    Null, empty and blank texts, and null ids, are no cases. Texts are judged whole, and copies alike (in the joined form only
-    among hosts with the same boilerplate). An empty table gives none; other columns aren't read. Counting lines shuffles (host, short line) counts after map-side combine; judging
-    needs no shuffle unless there are more recurrent lines than are broadcast: then each host's are joined to its documents."""
+    Null, empty and blank texts, and null ids, are no cases. Texts are judged whole, and copies alike: the lines that recur on
+    any host are boilerplate on all of them, however many lines there are. An empty table gives none; other columns aren't read.
+    Counting lines shuffles (host, short line) counts after map-side combine; judging needs no shuffle unless there are more
+    recurrent lines than are broadcast: then the texts are searched once for each block of lines, the lines found are grouped
+    by text, and the texts are joined to them. That gives the same ids."""
     spark = docs.sparkSession
     ship(spark)
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host")).filter("id is not null and trim(text) <> ''")
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and trim(text) <> ''")
     kind = d.schema["id"].dataType.simpleString()
-    found = boilerplate(docs, text_col, host_col).select("host", "line").limit(BROADCAST_LINES + 1).collect()
+    recurrent = boilerplate(docs, text_col, host_col).select("line").distinct()
+    found = recurrent.limit(BROADCAST_LINES + 1).collect()
     plain = lambda lines: sorted({x for x in lines if not evidence(x) and not AUX.search(x) and not HOLE.search(x)})
     if len(found) <= BROADCAST_LINES:
         shared = spark.sparkContext.broadcast(plain(r.line for r in found))
@@ -228,20 +246,33 @@ def residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
             for b in it:
                 yield b.loc[[judge(t) for t in b["text"]], ["id"]]
 
-        return d.select("id", "text").mapInPandas(run, f"id {kind}").distinct().withColumnRenamed("id", id_col)
-
-    own = boilerplate(docs, text_col, host_col).groupBy("host").agg(F.collect_list("line").alias("lines"))  # bounded by share
+        return d.mapInPandas(run, f"id {kind}").distinct().withColumnRenamed("id", id_col)
 
     def each(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        judges: dict[str, Judge] = {}
         for b in it:
-            good = []
-            for h, t, lines in zip(b["host"], b["text"], b["lines"]):
-                if h not in judges:
-                    if len(judges) > 100:
-                        judges.clear()
-                    judges[h] = Judge(plain(lines if lines is not None else []))
-                good.append(judges[h](t))
-            yield b.loc[good, ["id"]]
-
-    return d.join(own, "host", "left").mapInPandas(each, f"id {kind}").distinct().withColumnRenamed("id", id_col)
+            yield b.loc[[Judge([] if lines is None else lines)(t) for t, lines in zip(b["text"], b["lines"])], ["id"]]
+
+    d = d.withColumn("key", F.unhex(F.sha2("text", 256)))
+    return d.join(_occurring(d, recurrent, plain), "key", "left").mapInPandas(each, f"id {kind}").distinct().withColumnRenamed("id", id_col)
+
+
+def _occurring(d: DataFrame, recurrent: DataFrame, plain: Callable[[Iterable[str]], list[str]]) -> DataFrame:
+    """key, lines: the recurrent lines that stand in each text (at most as many as fit in it), found with one block of
+    BROADCAST_LINES lines, about, at a time; the driver holds one block."""
+    spark, most = d.sparkSession, max(1, BROADCAST_LINES)
+    lines = Stored(recurrent)
+    blocks = -(-lines.df.count() // most)
+    out = scratch(spark)
+    for n in range(blocks):
+        mine = plain(r.line for r in lines.df.filter(F.pmod(F.xxhash64("line"), F.lit(blocks)) == n).collect())
+        shared = spark.sparkContext.broadcast(mine)
+
+        def run(it: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            judge = Judge(shared.value)
+            for b in it:
+                yield pd.DataFrame([(k, x) for k, t in zip(b["key"], b["text"]) for x in judge.occurring(t)], columns=["key", "line"], dtype=object)
+
+        d.select("key", "text").mapInPandas(run, "key binary, line string").distinct().write.mode("append").parquet(out)
+        shared.destroy()
+    lines.drop()
+    return spark.read.schema("key binary, line string").parquet(out).groupBy("key").agg(F.collect_set("line").alias("lines"))

@@ -72,3 +72,20 @@ def test_boilerplate_is_learned_by_host(spark, monkeypatch):
     assert R.residue(df.limit(0)).count() == 0
     lines = {(r.host, r.line): r.n for r in R.boilerplate(df, "text", "source").collect()}
     assert lines[("h1", "record viewer #")] == 33  # 30 pages, two copies, and one without an id
+
+
+@pytest.mark.parametrize("most", [R.BROADCAST_LINES, 3, 1])
+def test_boilerplate_of_other_hosts_at_every_size(spark, monkeypatch, most):
+    page = "Sequence portal of the north\nRecord viewer of the archive\nLeave a comment below\nPrivacy settings and cookies\nThe page could not be found."
+    text = "Reads of sample {} cover the whole contig at good depth, and two gaps remain to be closed by hand."
+    rows = [(i, page, "h1") for i in range(5)] + [(100 + i, text.format(i), "h2") for i in range(5)]
+    rows += [(200, page, "h2"), (201, page.replace("page", "record"), "h2"), (202, page.replace("page", "file"), None)]  # a copy, and cases of their own
+    monkeypatch.setattr(R, "BROADCAST_LINES", most)
+    got = [r.doc_id for r in R.residue(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()]
+    assert sorted(got) == [*range(5), 200, 201, 202]
+
+
+def test_lines_that_are_not_in_the_text_do_not_matter():
+    text, lines = "b    a b b x y", ["a", "b b", "  a  b", "b ba", "x", "x y", "y"]
+    assert R.Judge(lines).without_boilerplate(text) == R.Judge([x for x in lines if x in text]).without_boilerplate(text)
+    assert R.Judge(lines).without_boilerplate(text).split() == ["b"]
