@@ -195,3 +195,10 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Daily counts by type behind a watermark; the last windows stay open."""
     p = scratch(spark)
     return T.windowed_counts(spark, f"{d}/events.parquet", "ts", "event_type", "1 day", "1 hour", f"{p}/out", f"{p}/checkpoint")
+
+
+@query("select date_trunc('day', ts)::timestamp as window_start, event_type, count(*) as n from events where ts is not null group by 1, 2")
+def stream_windows_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Daily counts by type of the whole table, with the windows that are still open when the input ends."""
+    p = scratch(spark)
+    return T.all_windowed_counts(spark, f"{d}/events.parquet", "ts", "event_type", "1 day", f"{p}/out", f"{p}/checkpoint")

@@ -49,6 +49,19 @@ def windowed_counts(spark: SparkSession, path: str, at: str, key: str, width: st
     return spark.read.parquet(out)
 
 
+def all_windowed_counts(spark: SparkSession, path: str, at: str, key: str, width: str, out: str, checkpoint: str) -> DataFrame:
+    """Counts by event-time window and key of all rows so far, open windows and late rows too; out holds the state after each
+    batch, and all windows stay in it."""
+
+    def save(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    s = read_stream(spark, path).withColumn("__t", F.col(at).cast("timestamp"))
+    agg = s.groupBy(F.window("__t", width).alias("w"), F.col(key)).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), key, "n")
+    _run(agg.writeStream.outputMode("complete").foreachBatch(save), checkpoint)
+    return spark.read.parquet(out)
+
+
 def score_stream(spark: SparkSession, path: str, score, out: str, checkpoint: str, kind: str = "parquet") -> DataFrame:
     """Each arriving batch scored and appended: score takes and gives a DataFrame."""
 

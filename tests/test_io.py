@@ -166,6 +166,16 @@ def test_stream_metrics_over_a_log(spark, tmp_path):
     assert run() == {1: (3, 2.0, 1.0, 3.0), 2: (1, 5.0, 5.0, 5.0)}
 
 
+def test_open_windows_and_late_rows_are_counted(spark, tmp_path):
+    src, out, ck = str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "ck")
+    save = lambda *days: spark.createDataFrame([(f"2024-01-{d:02} 12:00:00", "a") for d in days], "t string, k string").selectExpr("cast(t as timestamp) as ts", "k").coalesce(1).write.mode("append").parquet(src)
+    run = lambda: {r.window_start.day: r.n for r in T.all_windowed_counts(spark, f"{src}/*.parquet", "ts", "k", "1 day", out, ck).collect()}
+    save(1, 1, 9)
+    assert run() == {1: 2, 9: 1}  # the last day is open
+    save(2, 9)
+    assert run() == {1: 2, 2: 1, 9: 2}  # a row a week late
+
+
 def test_score_stream(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([(1, "ACD")], "id int, sequence string").write.parquet(src)
