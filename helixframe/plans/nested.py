@@ -30,7 +30,9 @@ def _typed(spark: SparkSession, d: str, *named: N.Level) -> dict[str, DataFrame]
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     levels = bare(TYPED)
-    typed = N.node_paths(N.read_levels(spark, f"{d}/crispr_cas_atlas.parquet", ["row_id"], levels), "row_id", levels)
+    flat = N.flatten_levels(N.read_levels(spark, f"{d}/crispr_cas_atlas.parquet", ["row_id"], levels), ["row_id"], levels)
+    gene, domain, motif = (flat[x.name].select("row_id", F.lit(x.name).alias("node_level"), "node_path") for x in levels)
+    typed = gene.unionByName(domain).unionByName(motif)
     raw = N.json_nodes(table(spark, d, "atlas_raw"), "row_id", "payload", RAW, with_fields=False)
     cols = ["tbl", "row_id", "node_level", "node_path"]
     return typed.withColumn("tbl", F.lit("crispr_cas_atlas")).select(*cols).unionByName(raw.withColumn("tbl", F.lit("atlas_raw")).select(*cols))

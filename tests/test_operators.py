@@ -302,3 +302,17 @@ def test_json_nesting(spark):
     t = N.json_triples(df.filter("row_id = 1"), "row_id", "payload", NQ.RAW).collect()
     assert {(r.node_path, r.field_path, r.value) for r in t} == {("0", "id", ""), ("0", "operon_id", "o"), ("0.0", "gene_name", "g"), ("0.0.0.0", "pos", "7")}
     assert N.json_nodes(df.limit(0), "row_id", "payload", NQ.RAW).count() == 0
+
+
+def test_p2_found_uses_the_operator_of_the_tables(spark, data, monkeypatch):
+    from helixframe.operators import nested as N
+    from helixframe.plans import nested as P
+
+    used, old = [], N.flatten_levels
+    monkeypatch.setattr(N, "flatten_levels", lambda *a: used.append([x.name for x in a[2]]) or old(*a))
+    typed = P.p2_found(spark, data).filter("tbl = 'crispr_cas_atlas'")
+    assert used == [["gene", "domain", "motif"]]
+    for level, table in (("gene", P.p2_genes), ("domain", P.p2_domains), ("motif", P.p2_motifs)):
+        places = table(spark, data).filter("tbl = 'crispr_cas_atlas'").select("row_id", "node_path")
+        mine = typed.filter(f"node_level = '{level}'").select("row_id", "node_path")
+        assert mine.count() and mine.exceptAll(places).isEmpty() and places.exceptAll(mine).isEmpty()
