@@ -1,70 +1,88 @@
 """Problem 8: template residue, filler, error pages and script notices in place of real content.
 
-Method: normalised lines are counted by host in Spark; short lines that recur on a host, and are no evidence themselves, are
-boilerplate. Each document loses its markup and its boilerplate, and what is left is cut into short units. A document is
-excluded if the units hold evidence of an error page, a script notice or filler and nearly nothing else, or if its prose
-(not its code, quotations or configuration) holds a placeholder that was never filled."""
+Method: normalised lines are counted by host in Spark; lines that recur on a host, and are no evidence themselves, are its
+boilerplate. Each document loses its markup and its own host's boilerplate, and what is left is cut into short units. A
+document is excluded if the units hold evidence of an error page, a script notice or filler and nearly nothing else, or if
+its prose (not its code, quotations or configuration) holds a placeholder that was never filled.
+
+Evidence is found by one automaton over literal phrases; patterns look at what has digits or repeats. Filler that imitates
+Latin is told by its form: no function word of a living language, mostly Latin endings, some words of the standard text."""
 
 from __future__ import annotations
 
+import functools
 import html
+import itertools
+import json
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import Stored, scratch, ship
-
-# Words and phrases of error pages, script notices and fillers in four languages.
-ERROR = r"""
- (?:^|\b)(?:error|erreur|fehler|http|código|status)[\s:#-]*[45]\d\d\b | ^[45]\d\d\s+\w+(?:\s\w+){0,3}$ | \([45]\d\d\)$
- | \bnot\ found\b | ^forbidden\b | \bunauthorized\b | bad\ gateway | gateway\ time | service\ (?:temporarily\ )?unavailable | internal\ server\ error | too\ many\ (?:requests|clients)
- | access\ denied | ^gone\b | fatal\ error | (?:database|db)\ connection\ failed | unexpected\ error | went\ wrong | error\ occurred | that's\ an\ error | call\ to\ undefined
- | could\ not\ be\ (?:found|loaded|completed|reached|displayed|shown|processed) | cannot\ be\ (?:reached|shown|displayed|found|loaded) | failed\ to\ load | timed\ out | (?:request|connection)\ timeout
- | has\ been\ (?:moved|removed|deleted) | was\ (?:moved|deleted|removed) | restricted\ to\ members | not\ available\ (?:at\ the\ moment|right\ now) | maintenance | does\ not\ exist | doesn't\ exist
- | can't\ (?:find|reach|open) | session\ (?:has\ )?expired | may\ not\ view | sign\ in\ to\ see | log\ in\ to | are\ you\ a\ robot | no\ longer\ (?:available|exists)
- | introuvable | n'existe\ pas | accès\ (?:refusé|interdit) | erreur\ interne | erreur\ est\ survenue | n'est\ pas\ disponible | n'est\ pas\ accessible | a\ été\ (?:supprimée?|déplacée?|retirée?) | indisponible | session\ a\ expiré
- | réservée?\ aux\ membres | n'a\ pas\ pu\ être | délai\ d'attente | ne\ peut\ (?:pas\ )?être\ affichée?
- | nicht\ gefunden | existiert\ nicht | zugriff\ verweigert | serverfehler | nicht\ geladen\ werden | nicht\ erreichbar | nicht\ verfügbar | nur\ für\ mitglieder | wartungsarbeiten | sitzung\ ist\ abgelaufen | schiefgelaufen | schief\ gelaufen
- | nicht\ angezeigt\ werden | (?:wurde|ist)\ (?:gelöscht|entfernt|verschoben) | zeitüberschreitung | fehler\ (?:ist\ )?aufgetreten
- | no\ encontrad[ao] | no\ existe\b | acceso\ (?:denegado|prohibido) | error\ interno | no\ se\ pudo | no\ se\ ha\ (?:encontrado|podido) | fue\ (?:eliminad|movid)[ao] | no\ está\ disponible | no\ disponible | ha\ caducado | ha\ expirado
- | algo\ salió\ mal | s[oó]lo\ para\ miembros | tiempo\ de\ espera | se\ ha\ producido\ un\ error | ocurrió\ un\ error
-"""
-SCRIPT = r"""
- \b(?:java-?script|js|scripts?|scripting|skripte?n?|secuencias\ de\ comandos)\b
+from ..runtime import Stored, ship
+
+# Phrases of error pages, script notices and fillers, by language; {a|b} stands for each of a and b.
+ERROR = """
+not found; forbidden; unauthorized; bad gateway; gateway time; service {|temporarily }unavailable; internal server error; too many {requests|clients|redirects}; access denied; permission denied; fatal error
+{database|db} connection failed; unexpected error; went wrong; error occurred; that's an error; call to undefined; failed to load; timed out; {request|connection} timeout; restricted to members; maintenance
+{could not|couldn't|cannot|can't|can not} be {found|loaded|completed|reached|displayed|shown|processed|opened}; {has been|was|have been} {moved|removed|deleted|suspended}; not available {at the moment|right now}; {does not|doesn't} exist; no longer {available|exists}
+{can't|cannot} {find|reach|open|connect to}; could not find {the|this|that|your}; session {|has }expired; may not view; sign in to see; log in to; are you a robot; verify you are human; bandwidth limit exceeded; site connection is secure; quota exceeded; connection refused; dns error
+introuvable; n'existe pas; accès {refusé|interdit}; erreur interne; erreur est survenue; n'est pas {disponible|accessible}; a été {supprimé|déplacé|retiré}; indisponible; session a expiré; réservé{|e} aux membres; n'a pas pu être; délai d'attente; ne peut {|pas }être affiché
+nicht gefunden; existiert nicht; zugriff verweigert; serverfehler; nicht geladen werden; nicht erreichbar; nicht verfügbar; nur für mitglieder; wartungsarbeiten; sitzung ist abgelaufen; schiefgelaufen; schief gelaufen; nicht angezeigt werden
+{wurde|ist} {gelöscht|entfernt|verschoben}; zeitüberschreitung; fehler {|ist }aufgetreten
+no encontrad{a|o}; no existe; acceso {denegado|prohibido}; error interno; no se pudo; no se ha {encontrado|podido}; fue {eliminad|movid}{a|o}; {no está|no} disponible; ha {caducado|expirado}; algo salió mal; {sólo|solo} para miembros; tiempo de espera
+{se ha producido|ocurrió} un error
+não encontrad{a|o}; não existe; acesso {negado|proibido}; erro interno; não está disponível; indisponível; foi {removid|movid|excluíd}{a|o}; sessão expirou; algo deu errado; ocorreu um erro
+non trovat{a|o}; non esiste; accesso negato; errore interno; non è disponibile; non disponibile; è stat{a|o} {rimoss|spostat|eliminat}{a|o}; sessione scaduta; qualcosa è andato storto; si è verificato un errore
+niet gevonden; bestaat niet; toegang geweigerd; interne serverfout; niet beschikbaar; is {verwijderd|verplaatst}; sessie is verlopen; er is {iets misgegaan|een fout opgetreden}
+nie znaleziono; nie istnieje; odmowa dostępu; wystąpił błąd; niedostępna; hittades inte; finns inte; åtkomst nekad; ett fel uppstod; ikke funnet; ikke fundet; adgang nægtet
+bulunamadı; erişim engellendi; bir hata oluştu; не найден; не существует; доступ {запрещён|запрещен}; произошла ошибка; недоступн; ページが見つかりません; アクセスが拒否; エラーが発生; 页面不存在; 找不到; 无法访问; 拒绝访问; 페이지를 찾을 수 없습니다
 """
-SCRIPT_NEED = r"""
- \b(?:requires?|required|needs?|needed|enabled?|turn(?:ed)?|relies|rely|cannot\ work|won't\ work|doesn't\ work|does\ not\ work|stays?\ empty|disabled|blocked|switched\ off|must\ be|allow(?:ed)?|does\ not\ support|without|activate
- |benötigt|braucht|aktivier\w*|deaktiviert|funktioniert\ nicht|einschalten|erlauben|ohne
- |exige|nécessite|activ\w*|désactivé\w*|fonctionne\ pas|autorisez\w*|sans
- |requiere|necesita|desactivado|funciona\ sin|permít\w*|habilit\w*|sin)\b
+SCRIPT = "javascript; java-script; java script; js; script; scripts; scripting; skript; skripte; skripten; secuencias de comandos"
+NEED = """
+require; requires; required; need; needs; needed; enable; enabled; turn; turned; relies; rely; cannot work; won't work; doesn't work; does not work; stay empty; stays empty; disabled; blocked; switched off; must be; allow; allowed; does not support; without; activate
+benötigt; braucht; aktiviere; aktivieren; aktivieren sie; aktiviert; deaktiviert; funktioniert nicht; einschalten; erlauben; ohne; exige; nécessite; active; activez; activé; activer; désactivé; désactivés; fonctionne pas; autorisez; sans
+requiere; necesita; desactivado; funciona sin; permita; permítalos; permitir; active; activar; activado; habilite; habilitar; sin; requer; precisa; ative; ativar; desativado; sem; richiede; attivare; attiva; abilitare; disabilitato; senza; vereist; nodig; inschakelen; uitgeschakeld; zonder; wymaga; włącz; включите; отключен; 有効; 启用
 """
-FILLER = r"""
- \b(?:goes?|stands?)\ here\b | not\ (?:yet\ )?written | \bpending\b | will\ follow | coming\ soon | to\ be\ (?:added|replaced|filled\ in|written|determined) | replace\ me | \bdummy\b | \bplaceholder\b | sample\ (?:paragraph|text) | layout\ purposes
- | some\ body\ text | \bheading\ \d+$ | \blorem\ text\b | ^(?:write|enter|insert|add)\ (?:a|an|your|the)\b.*\bhere$ | texte\ de\ remplissage | à\ remplacer | à\ compléter | texto\ de\ relleno | sin\ contenido | por\ completar
- | blindtext | platzhaltertext | hier\ steht\ später | hier\ kommt | folgt\ in\ kürze | (?:text|inhalt)\ folgt | ici\ (?:viendra|le\ texte) | aquí\ va | \b(?:asdf|qwerty|blah|bla|foo|foobar|tbd|xxx+)\b(?:\W+\b(?:asdf|qwerty|blah|bla|foo|bar|baz|tbd|xxx+)\b)+
- | ^(\w+)(?:\W+\1\b){2,}$ | ^(?:(\w)\2{2,}\W*){3,}$
+FILLER = """
+{goes|go|stands|stand} here; not {|yet }written; pending; will follow; coming soon; to be {added|replaced|filled in|written|determined}; replace me; dummy; placeholder; sample {paragraph|text}; layout purposes; some body text; lorem text; under construction; your {text|content} here
+texte de remplissage; à remplacer; à compléter; ici viendra; ici le texte; texto de relleno; sin contenido; por completar; aquí va; blindtext; platzhaltertext; hier steht später; hier kommt; folgt in kürze; text folgt; inhalt folgt; testo segnaposto; texto de preenchimento; em breve; prossimamente
 """
-AUX = r"""
- try\ again | refresh | reload | been\ notified | administrator | check\ (?:the\ address|your\ browser) | slow\ down | complete\ the\ check | turn\ it\ on | \b(?:quote\ )?code(?:\ \S{1,12})?$ | ^some\ features | ^won't\ work$ | ^(?:vorgang|código|incident)\ \w{1,12}$
- | administrador | verwaltung | administrateur | bitte\ später | versuchen\ sie | réessay | inténtelo | activez-le | actívelo | rechargez | recargue | neu\ laden | einschalten
- | ^(?:whoops|oops|ups|oups|vaya|sorry)\W*$ | ^loading\b | ^retry\b | contact\ us
+AUX = """
+try again; refresh; reload; been notified; administrator; check the address; check your browser; checking your browser; slow down; complete the check; turn it on; administrador; verwaltung; administrateur; bitte später; versuchen sie; réessay; inténtelo; activez-le; actívelo; rechargez; recargue; neu laden; einschalten
+contact us; tente novamente; riprova; probeer het
 """
+#: Evidence by patterns: numbers of errors, forms to be filled in, messages that are a word alone.
+STATUS = re.compile(r"\b(?:error|erreur|fehler|errore|erro|fout|http|código|status)[\s:#-]*[45]\d\d\b|^\[?[45]\d\d\]?\s+\w+(?:\s\w+){0,3}$|\([45]\d\d\)?$|\bgone \(410\)", re.I)
+ALONE = re.compile(r"^gone\b|\bheading \d+$|^(?:write|enter|insert|add) (?:a|an|your|the)\b.*\bhere$|^(?:(\w)\1{2,}\W*){3,}$")
+AUX_FORM = re.compile(r"\b(?:quote )?code(?: \S{1,12})?$|^some features|^won't work$|^(?:vorgang|código|incident) \w{1,12}$|^(?:whoops|oops|ups|oups|vaya|sorry)\W*$|^loading\b|^retry\b")
+#: What is typed in place of words.
+MASH = {*"asdf asdfgh qwerty qwertz blah bla foo foobar bar baz tbd tba xxx xxxx lala".split()}
 #: Furniture that any page may have, whether or not it recurs in the corpus at hand.
-FURNITURE = r"^(?:home|menu|search|help|browse|contact|imprint|login|skip to content|back to (?:start|top)|zur startseite|accueil|inicio|buscar|base|abstract|methods?|summary|results?|introduction|request id|ref|© ?\w+(?: \w+)?)$"
-#: Words of the filler text that imitates Latin.
+FURNITURE = re.compile(r"^(?:home|menu|search|help|browse|contact|imprint|login|skip to content|back to (?:start|top)|zur startseite|accueil|inicio|buscar|base|abstract|methods?|summary|results?|introduction|request id|ref|© ?\w+(?: \w+)?)$")
+#: Words of the filler text that imitates Latin, as its usual opening and its usual generators have them.
 LATIN = set(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat "
     "duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum "
-    "aliquem corvid erant fauctor laborin magnal morbelus nibrem praeset quisque sodalum tandis tempusca tristor ulmas vellorem venit vultica".split()
+    "pellentesque habitant morbi tristique senectus netus malesuada fames ac turpis egestas vestibulum tortor quam feugiat vitae ultricies eget ante maecenas faucibus mollis interdum vivamus sagittis lacus vel augue laoreet rutrum auctor "
+    "curabitur phasellus suspendisse aliquam nullam donec praesent mauris quisque cras fusce integer nunc sollicitudin bibendum pharetra perspiciatis unde omnis iste natus voluptatem accusantium doloremque laudantium".split()
 )
 #: Words that are not Latin alone: a text needs others as well.
-WEAK = {"in", "id", "do", "sit", "non", "et", "ad", "ex", "est", "qui", "sed", "ea", "eu", "ut"}
-_flags = re.X | re.I
-ERROR, SCRIPT, SCRIPT_NEED, FILLER, AUX = (re.compile(x, _flags) for x in (ERROR, SCRIPT, SCRIPT_NEED, FILLER, AUX))
-FURNITURE = re.compile(FURNITURE)
+WEAK = {"in", "id", "do", "sit", "non", "et", "ad", "ex", "est", "qui", "sed", "ea", "eu", "ut", "ac", "vel", "integer"}
+#: Frequent words of living languages that Latin doesn't have.
+LIVING = {
+    *"the of to and that for is was with on as by this are be from or have it an which not were has been at its can when all their they we you".split(),
+    *"le la les des du un une que dans pour pas sur par avec sont au aux ce cette il elle nous vous qui plus".split(),
+    *"der die das den dem und zu mit von auf für ist nicht ein eine einer eines im sich auch wird werden als aus nach bei".split(),
+    *"el los las del y en por con para una se su al lo como más pero sus fue son".split(),
+    *"il lo gli di che da del della con per sono o os na no em um uma dos das não het een van op te zijn".split(),
+} - {"in", "et", "est", "qui", "at", "non", "um", "per", "se", "te", "o"}
+OPENING_PAIRS = {("lorem", "ipsum"), ("ipsum", "lorem"), ("ipsum", "dolor"), ("dolor", "sit"), ("sit", "amet")}
+#: Frequent endings of Latin words.
+ENDING = re.compile(r"(?:us|um|is|am|em|ae|or|ur|it|at|et|ant|ent|unt|que)$")
 
 TAGS = "html head body noscript script style title meta link div span p a b i u em strong br hr ul ol li dl dt dd table thead tbody tfoot tr td th caption h1 h2 h3 h4 h5 h6 img pre code nav header footer main section article aside form input button label select option iframe svg path sub sup small center font blockquote".split()
 TAG = re.compile(r"</?(?:" + "|".join(TAGS) + r")\b[^<>]*>|<!--.*?(?:-->|\Z)|<!doctype[^>]*>", re.I | re.S)
@@ -73,7 +91,7 @@ INLINE = re.compile(r"`[^`\n]*(?:`|$)", re.M)
 QUOTED = re.compile(r"“[^”\n]{0,120}”|«[^»\n]{0,120}»|„[^“”\n]{0,120}[“”]|\"[^\"\n]{0,120}\"")
 SETTING = re.compile(r"^\s*(?:export\s+)?[A-Za-z_][\w.-]*\s*(?:=|:(?=\s*[\"'{\[$%]))\s*\S.*$|^\s*(?:[$>#]|>>>)\s*(?:cat|cd|cp|mv|rm|python\d?|bash|sh|export|echo|grep|awk|sed|curl|wget|git|make|pip|docker|spark-submit)\b.*$", re.M)
 JSON = re.compile(r"\s*(?:\{\s*(?:\"|\}|\Z)|\[\s*(?:\{\s*\"|\"|\d|\]|\Z))")
-LOG = re.compile(r"\s*(?:\[\d{3,}\]|\d{4}-\d\d-\d\d[ T]\d\d:\d\d)")  # a log speaks about errors
+LOG = re.compile(r"\s*(?:\[(?:#|(?![45]\d\d\])\d{3,})\]|\d{4}-\d\d-\d\d[ t]\d\d:\d\d)", re.I)  # a line of a log speaks about errors
 META = re.compile(r"\b(?:placeholders?|platzhalter\w*|marcador(?:es)?|templates?|vorlagen?|plantillas?|modèles?|gabarit|formular\w*|stands? for|denotes?|legend|legende|légende|leyenda|notation|variables?|syntax)\b", re.I)
 HOLE = re.compile(
     r"""
@@ -89,21 +107,23 @@ HOLE = re.compile(
 )
 HOLE_ANY_CASE = re.compile(r"\[(?:insert|tbd|tba|tbc|to be|fill|enter|your|hier|bitte|rellenar|completar|insertar|escriba|insérer|à compléter|saisir|object object)\b[^\]\n]{0,40}\]|<(?:insert|enter|your|hier|bitte|escriba|insérer|saisir|name eintragen)\b[^<>\n]{0,30}>", re.I)
 OPENING = re.compile(r"[{\[<$%@#]|__|XXXX|\(\w[\w ]* here\)")  # without one of these there is no placeholder
-CUT = re.compile(r"[\n\r|]+|(?<=[.!?…:])\s+|\s*[·›»|≡]\s*")
+#: Furniture that stands between other words, too.
+BETWEEN = r"skip to (?:main )?content|back to (?:start|top|home)|zur startseite|zum inhalt|retour à l'accueil|aller au contenu|volver al inicio|ir al contenido|terms of use|privacy policy|all rights reserved"
+CUT = re.compile(r"[\n\r|]+|(?<=[.!?…:])\s+|\s*[·›»|≡]\s*|\s[–—]\s|\b(?:" + BETWEEN + r")\b")
 AGAIN = re.compile(r"\b(\w+)(?:\W+\1\b){3,}")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b")
-
-
-def normal(line: str) -> str:
-    """A line without case, digits, ids and repeated blanks."""
-    return re.sub(r"\s+", " ", re.sub(r"\d+", "#", HEX.sub("#", line.lower()))).strip()
+DECODER = json.JSONDecoder()
 
 
 def prose(text: str) -> str:
-    """The text without code, quotations, settings and commands; JSON has no prose. Entities are resolved."""
-    if JSON.match(text):
-        return ""
+    """The text without code, quotations, settings and commands, and without the JSON it begins with (all of it, if that
+    doesn't parse: it is cut off). Entities are resolved."""
+    while JSON.match(text):
+        try:
+            text = text[DECODER.raw_decode(text, len(text) - len(text.lstrip()))[1] :]
+        except (ValueError, RecursionError):
+            return ""
     text = html.unescape(text)
     for what in (BLOCK, INLINE, QUOTED, SETTING):
         text = what.sub(" ", text)
@@ -123,156 +143,234 @@ def unfilled(text: str) -> bool:
     return False
 
 
-def evidence(unit: str) -> bool:
+def phrases(table: str) -> Iterator[str]:
+    """The phrases of a table: ';' and line ends part them, {a|b} stands for each of a and b."""
+    for cell in re.split(r"[;\n]", table):
+        parts = re.split(r"[{}]", cell.strip())
+        options = [x.split("|") if i % 2 else [x] for i, x in enumerate(parts)]
+        yield from filter(None, ("".join(x) for x in itertools.product(*options)))
+
+
+@functools.cache
+def _phrases():
+    """The automaton of all phrases: (length, kind, whole), whole where the phrase must end with a word."""
+    import ahocorasick
+
+    found: dict[str, list[tuple[int, str, bool]]] = {}
+    for kind, table in (("error", ERROR), ("filler", FILLER), ("aux", AUX), ("script", SCRIPT), ("need", NEED)):
+        for x in phrases(table):
+            found.setdefault(x, []).append((len(x), kind, kind in ("script", "need") or x in ("dummy", "placeholder", "pending", "forbidden", "unauthorized")))
+    auto = ahocorasick.Automaton()
+    for x, what in found.items():
+        auto.add_word(x, what)
+    auto.make_automaton()
+    return auto
+
+
+def hits(unit: str) -> dict[str, int]:
+    """How often phrases of each kind stand in a unit (lower case); overlapping phrases of a kind count once."""
+    count: dict[str, int] = {}
+    last: dict[str, int] = {}
+    for end, what in _phrases().iter(unit):
+        for size, kind, whole in what:
+            lo = end + 1 - size
+            # Han, kana and Hangul run on without blanks
+            if lo and unit[lo - 1].isalnum() and unit[lo] < "\u3000" or whole and end + 1 < len(unit) and unit[end + 1].isalnum() and unit[end] < "\u3000":
+                continue
+            if lo >= last.get(kind, 0):
+                count[kind] = count.get(kind, 0) + 1
+            last[kind] = end + 1
+    return count
+
+
+def _mashed(words: list[str]) -> bool:
+    return any(a in MASH and b in MASH for a, b in zip(words, words[1:]))
+
+
+def evidence(unit: str, words: list[str] | None = None, kinds: dict[str, int] | None = None) -> bool:
     """Is a short unit (lower case, repeated words collapsed) a line of an error page, a script notice or filler?"""
-    words = WORD.findall(unit)
-    latin = [w for w in words if w in LATIN]
-    if len(words) >= 3 and len(latin) >= 0.6 * len(words) and sum(w not in WEAK for w in latin) >= len(words) // 8 + 1:
+    words = WORD.findall(unit) if words is None else words
+    n = len(words)
+    if n >= 3 and (len(set(words)) == 1 or n >= 6 and len(set(words)) <= n // 3):
         return True
-    if len(words) >= 6 and len(set(words)) <= len(words) // 3:
+    latin = [w for w in words if w in LATIN]
+    if n >= 3 and len(latin) >= 0.6 * n and sum(w not in WEAK for w in latin) >= n // 8 + 1:
         return True
-    if len(words) > 14:  # a sentence this long tells about an error, unless several messages were run together
-        return len(words) <= 30 and len(ERROR.findall(unit)) >= 2 and len(ERROR.findall(unit)) >= len(words) / 12
-    return bool(ERROR.search(unit) or FILLER.search(unit) or (SCRIPT.search(unit) and SCRIPT_NEED.search(unit)))
+    if n > 30:
+        return False
+    kinds = hits(unit) if kinds is None else kinds
+    if n > 14:  # a sentence this long tells about an error, unless several messages were run together
+        errors = kinds.get("error", 0) + len(STATUS.findall(unit))
+        return errors >= 2 and errors >= n / 12
+    return bool("error" in kinds or "filler" in kinds or ("script" in kinds and "need" in kinds) or STATUS.search(unit) or ALONE.search(unit) or _mashed(words))
+
+
+def imitates_latin(words: list[str]) -> bool:
+    """Do words, none of which is a function word of a living language, look like the filler text? At least half of them have a
+    Latin ending, and one in ten or more is of the standard text; or three in ten have one, and a pair of words of its
+    opening stands there. Names of species have such endings, but not such words."""
+    n, strong, ends = len(words), sum(w in LATIN and w not in WEAK for w in words), sum(bool(ENDING.search(w)) for w in words)
+    return n >= 6 and (ends * 2 >= n and strong * 10 >= n or ends * 10 >= 3 * n and any(x in OPENING_PAIRS for x in zip(words, words[1:])))
 
 
-def bare(text: str) -> str:
-    """The lower-case text without ids and markup; code blocks stay: what they hold is content."""
-    t = html.unescape(TAG.sub("\n", text)).replace("​", " ").lower()
-    return "\n".join(HEX.sub("#", x) for x in t.split("\n"))
+def segments(text: str) -> Iterator[str]:
+    """The lower-case lines without markup and ids, one after the other; code blocks stay: what they hold is content."""
+    at = 0
+    for m in TAG.finditer(text):
+        yield from _lines(text[at : m.start()])
+        at = m.end()
+    yield from _lines(text[at:] if at else text)
+
+
+def _lines(part: str) -> Iterator[str]:
+    for x in part.splitlines():
+        yield HEX.sub("#", html.unescape(x).replace("\u200b", " ").lower())
 
 
 class Judge:
-    def __init__(self, boilerplate: list[str]):
+    """Judges texts of one host, whose recurrent lines are given; those that are evidence themselves are no boilerplate."""
+
+    def __init__(self, boilerplate: Iterable[str]):
         import ahocorasick
 
         self.auto = None
-        lines = [x for x in boilerplate if x]
+        lines = sorted({x for x in boilerplate if x and not evidence(x) and "aux" not in hits(x) and not AUX_FORM.search(x) and not HOLE.search(x)})
         if lines:
             self.auto = ahocorasick.Automaton()
             for x in lines:
                 self.auto.add_word(x, len(x))
             self.auto.make_automaton()
 
-    def places(self, text: str) -> list[tuple[int, int]]:
-        """Where lines stand in the text as whole words: start and end, the longest first of those that start together.
-
-        Lines that aren't in the text have no bearing on it (as they may have in the automaton's own longest matches)."""
+    def without_boilerplate(self, text: str) -> str:
+        """The text without the lines that stand in it as whole words, from left to right, the longest first."""
         if self.auto is None:
-            return []
+            return text
         ends = ((end + 1 - size, end + 1) for end, size in self.auto.iter(text))
-        return sorted(((lo, hi) for lo, hi in ends if (lo == 0 or not text[lo - 1].isalnum()) and (hi == len(text) or not text[hi].isalnum())), key=lambda x: (x[0], -x[1]))
-
-    def without_boilerplate(self, text: str) -> str:
         out, at = [], 0
-        for lo, hi in self.places(text):
+        for lo, hi in sorted(((lo, hi) for lo, hi in ends if (lo == 0 or not text[lo - 1].isalnum()) and (hi == len(text) or not text[hi].isalnum())), key=lambda x: (x[0], -x[1])):
             if lo >= at:
                 out.append(text[at:lo])
                 at = hi
         return "\n".join([*out, text[at:]])
 
-    def occurring(self, text: str) -> set[str]:
-        """The lines that stand in a document's text."""
-        t = bare(text)
-        return {t[lo:hi] for lo, hi in self.places(t)}
-
     def replaced(self, text: str) -> bool:
-        """Is the whole text error page, script notice or filler, with or without heading, furniture and markup around it?"""
-        if LOG.match(text):
-            return False
-        t = self.without_boilerplate(bare(text))
-        proof = other = 0
-        for unit in CUT.split(t):
-            if other > 6:
-                return False
-            unit = AGAIN.sub(r"\1 \1 \1", unit.strip(" \t#*_=>-–—.!…?:,;()[]\"'¡¿•"))
-            words = WORD.findall(unit)
-            if not words:
-                continue
-            if evidence(unit):
-                proof += len(words)
-            elif FURNITURE.match(unit):
+        """Is the whole text error page, script notice or filler, with or without heading, furniture and markup around it?
+
+        What is no evidence is counted in different words; once there are more than six the text is real, whatever follows."""
+        proof, other, latin, sure = 0, set(), [], []
+        for line in segments(text):
+            if not line or line.isspace():
                 continue
-            elif not AUX.search(unit) or len(words) > 14:
-                other += len(words)
-        return proof > 0 and other <= min(6, max(2, proof))
+            log = LOG.match(line)
+            for unit in CUT.split(self.without_boilerplate(line)):
+                unit = AGAIN.sub(r"\1 \1 \1", unit.strip(" \t#*_=>-–—.!…?:,;()[]\"'¡¿•"))
+                words = WORD.findall(unit)
+                if not words:
+                    continue
+                kinds = hits(unit) if len(words) <= 30 else {}
+                if log:
+                    other.update(words)
+                elif evidence(unit, words, kinds):
+                    proof += len(words)
+                    sure += words
+                elif FURNITURE.match(unit) or len(words) <= 14 and ("aux" in kinds or AUX_FORM.search(unit)):
+                    continue
+                elif len(words) >= 3 and LIVING.isdisjoint(words) and all(w.isalpha() for w in words):
+                    latin.append(words)
+                else:
+                    other.update(words)
+                if len(other) > 6:
+                    return False
+        pool = [w for x in latin for w in x]
+        if imitates_latin([*(w for w in sure if w in LATIN), *pool]):
+            proof += len(pool)
+        else:
+            other.update(pool)
+        return proof > 0 and len(other) <= min(6, max(2, proof))
 
     def __call__(self, text: str | None) -> bool:
         return bool(text and text.strip()) and (self.replaced(text) or unfilled(text))
 
 
-def boilerplate(docs: DataFrame, text_col: str, host_col: str, share: float = 0.002, least: int = 3, most_words: int = 6) -> DataFrame:
-    """host, line, n: normalised lines of at most most_words words in at least `least` documents and `share` of the host's.
+def _host(host_col: str) -> Column:
+    return F.coalesce(F.col(host_col).cast("string"), F.lit(""))
 
-    A null host is a host. Each host has fewer than (short lines of its average document) / share such lines."""
-    h = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    bare = F.regexp_replace(F.lower(F.col(text_col)), r"<[^<>\n]{1,80}>", "\n")
-    line = F.transform(F.split(bare, r"[\r\n]+"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", "#"), r"\d+", "#"), r"\s+", " ")))
-    short = F.array_distinct(F.filter(line, lambda x: (F.length(x).between(4, 60)) & (F.size(F.split(x, " ")) <= most_words)))
-    d = docs.filter(F.col(text_col).isNotNull())
-    n = d.select(h.alias("host")).groupBy("host").agg(F.count("*").alias("docs"))
-    lines = d.select(h.alias("host"), F.explode(short).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    return lines.filter(F.col("n") >= least).join(F.broadcast(n) if _few(n) else n, "host").filter(F.col("n") >= share * F.col("docs")).select("host", "line", "n")
 
+def boilerplate(docs: DataFrame, text_col: str, host_col: str, share: float = 0.002, least: int = 3, most_words: int = 14) -> DataFrame:
+    """host, line, n: normalised lines of at most most_words words in at least `least` documents and `share` of the host's.
 
-def _few(hosts: DataFrame, most: int = 100_000) -> bool:
-    return hosts.limit(most + 1).count() <= most
+    Longer lines are sentences, which no document loses. A null host is a host. A text of one line has no boilerplate, so
+    that copies of a short page don't make it furniture. Each host has fewer than (lines of its average document) / share
+    such lines."""
+    bare = F.regexp_replace(F.lower(F.col(text_col)), r"<[^<>\n]*>", "\n")
+    even = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", "#"), r"\d+", "#"), r"[^\S\n\r]+", " ")
+    line = F.array_distinct(F.filter(F.transform(F.split(even, r"[\r\n]+"), F.trim), lambda x: F.length(x) > 0))
+    short = F.filter(line, lambda x: (F.length(x) >= 4) & (F.size(F.split(x, " ")) <= most_words))
+    d = docs.filter(F.col(text_col).isNotNull())
+    n = d.select(_host(host_col).alias("host")).groupBy("host").agg(F.count("*").alias("docs"))
+    lines = d.select(_host(host_col).alias("host"), F.explode(F.when(F.size(line) > 1, short)).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    return lines.filter(F.col("n") >= least).join(n, "host").filter(F.col("n") >= share * F.col("docs")).select("host", "line", "n")
 
 
-#: Recurrent lines (60 characters each at most) that are broadcast at once; more of them are looked for block by block.
-BROADCAST_LINES = 100_000
+#: Recurrent lines are broadcast up to this many characters; beyond it they are brought to their host's documents by a shuffle.
+BROADCAST_CHARS = 8_000_000
 
 
 def residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The ids (distinct) of documents to exclude: see the module's text.
 
-    Null, empty and blank texts, and null ids, are no cases. Texts are judged whole, and copies alike: the lines that recur on
-    any host are boilerplate on all of them, however many lines there are. An empty table gives none; other columns aren't read.
-    Counting lines shuffles (host, short line) counts after map-side combine; judging needs no shuffle unless there are more
-    recurrent lines than are broadcast: then the texts are searched once for each block of lines, the lines found are grouped
-    by text, and the texts are joined to them. That gives the same ids."""
+    Null, empty and blank texts, and null ids, are no cases. Texts are judged whole, each with the recurrent lines of its own
+    host; a copy of a case, on whatever host, is a case. An empty table gives none; other columns aren't read. Counting lines
+    shuffles (host, line) counts after map-side combine; judging shuffles nothing unless the recurrent lines are too many to
+    be broadcast (see BROADCAST_CHARS): then texts and lines are sorted by host, large hosts in up to 256 parts. Both ways
+    give the same ids. Copies are found by a 128-bit hash of the text."""
     spark = docs.sparkSession
     ship(spark)
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and trim(text) <> ''")
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _host(host_col).alias("host")).filter("id is not null and trim(text) <> ''")
     kind = d.schema["id"].dataType.simpleString()
-    recurrent = boilerplate(docs, text_col, host_col).select("line").distinct()
-    found = recurrent.limit(BROADCAST_LINES + 1).collect()
-    plain = lambda lines: sorted({x for x in lines if not evidence(x) and not AUX.search(x) and not HOLE.search(x)})
-    if len(found) <= BROADCAST_LINES:
-        shared = spark.sparkContext.broadcast(plain(r.line for r in found))
+    key = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit("second"), "text").alias("b"))
+    lines = Stored(boilerplate(docs, text_col, host_col).select("host", "line")).df
+    if (lines.agg(F.sum(F.length("line"))).first()[0] or 0) <= BROADCAST_CHARS:
+        held: dict[str, list[str]] = {}
+        for r in lines.collect():
+            held.setdefault(r.host, []).append(r.line)
+        shared = spark.sparkContext.broadcast(held)
 
         def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            judge = Judge(shared.value)
+            judges = functools.cache(lambda h: Judge(shared.value.get(h, ())))
             for b in it:
-                yield b.loc[[judge(t) for t in b["text"]], ["id"]]
-
-        return d.mapInPandas(run, f"id {kind}").distinct().withColumnRenamed("id", id_col)
-
-    def each(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                yield b.loc[[judges(h)(t) for t, h in zip(b["text"], b["host"])], ["a", "b"]]
+
+        bad = d.select("text", "host", key.alias("k")).select("text", "host", "k.*").mapInPandas(run, "a long, b long")
+    else:
+        bad = _sorted_by_host(d, lines, key)
+    copies = d.select("id", key.alias("k")).select("id", "k.*")
+    return copies.join(bad.distinct(), ["a", "b"], "left_semi").select("id").distinct().withColumnRenamed("id", id_col)
+
+
+def _sorted_by_host(d: DataFrame, lines: DataFrame, key: Column, parts: int = 256) -> DataFrame:
+    """(a, b) of the cases: each host's lines go before its texts, in every part of the host. A host has one part for each
+    parts-th of all documents that it holds, so that at most `parts` hosts have more than one."""
+    sizes = d.groupBy("host").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    several = {r.host: -(-r.n * parts // total) for r in sizes.filter(F.col("n") * parts > total).collect()}
+    many = F.coalesce(F.create_map(*[F.lit(x) for kv in several.items() for x in kv])[F.col("host")], F.lit(1)) if several else F.lit(1)
+    texts = d.select("host", F.pmod(F.xxhash64("text"), many).cast("int").alias("part"), F.lit(1).alias("o"), "text", key.alias("k"))
+    first = lines.select("host", F.explode(F.sequence(F.lit(0), many.cast("int") - 1)).alias("part"), F.lit(0).alias("o"), F.col("line").alias("text"), F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("k"))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, mine, judge = None, [], None
         for b in it:
-            yield b.loc[[Judge([] if lines is None else lines)(t) for t, lines in zip(b["text"], b["lines"])], ["id"]]
-
-    d = d.withColumn("key", F.unhex(F.sha2("text", 256)))
-    return d.join(_occurring(d, recurrent, plain), "key", "left").mapInPandas(each, f"id {kind}").distinct().withColumnRenamed("id", id_col)
-
-
-def _occurring(d: DataFrame, recurrent: DataFrame, plain: Callable[[Iterable[str]], list[str]]) -> DataFrame:
-    """key, lines: the recurrent lines that stand in each text (at most as many as fit in it), found with one block of
-    BROADCAST_LINES lines, about, at a time; the driver holds one block."""
-    spark, most = d.sparkSession, max(1, BROADCAST_LINES)
-    lines = Stored(recurrent)
-    blocks = -(-lines.df.count() // most)
-    out = scratch(spark)
-    for n in range(blocks):
-        mine = plain(r.line for r in lines.df.filter(F.pmod(F.xxhash64("line"), F.lit(blocks)) == n).collect())
-        shared = spark.sparkContext.broadcast(mine)
-
-        def run(it: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            judge = Judge(shared.value)
-            for b in it:
-                yield pd.DataFrame([(k, x) for k, t in zip(b["key"], b["text"]) for x in judge.occurring(t)], columns=["key", "line"], dtype=object)
-
-        d.select("key", "text").mapInPandas(run, "key binary, line string").distinct().write.mode("append").parquet(out)
-        shared.destroy()
-    lines.drop()
-    return spark.read.schema("key binary, line string").parquet(out).groupBy("key").agg(F.collect_set("line").alias("lines"))
+            good = np.zeros(len(b), dtype=bool)
+            for i, (h, p, o, t) in enumerate(zip(b["host"], b["part"], b["o"], b["text"])):
+                if at != (h, p):
+                    at, mine, judge = (h, p), [], None
+                if o == 0:
+                    mine.append(t)
+                else:
+                    judge = judge or Judge(mine)
+                    good[i] = judge(t)
+            yield b.loc[good, ["a", "b"]]
+
+    both = texts.unionByName(first).select("host", "part", "o", "text", "k.*")
+    return both.repartition("host", "part").sortWithinPartitions("host", "part", "o").mapInPandas(run, "a long, b long")

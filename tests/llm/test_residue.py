@@ -65,8 +65,8 @@ def test_boilerplate_is_learned_by_host(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").selectExpr("*", "1 as id", "2 as host", "3 as lines")
     want = {*range(30), 202}
     assert not R.Judge([])(page(1))  # alone, the furniture is taken for content
-    for most in (R.BROADCAST_LINES, 0):
-        monkeypatch.setattr(R, "BROADCAST_LINES", most)
+    for most in (R.BROADCAST_CHARS, 0):
+        monkeypatch.setattr(R, "BROADCAST_CHARS", most)
         got = [r.doc_id for r in R.residue(df).collect()]
         assert set(got) == want and len(got) == len(want)
     assert R.residue(df.limit(0)).count() == 0
@@ -74,15 +74,54 @@ def test_boilerplate_is_learned_by_host(spark, monkeypatch):
     assert lines[("h1", "record viewer #")] == 33  # 30 pages, two copies, and one without an id
 
 
-@pytest.mark.parametrize("most", [R.BROADCAST_LINES, 3, 1])
-def test_boilerplate_of_other_hosts_at_every_size(spark, monkeypatch, most):
+def test_own_hosts_lines_and_copies_at_every_size(spark, monkeypatch):
     page = "Sequence portal of the north\nRecord viewer of the archive\nLeave a comment below\nPrivacy settings and cookies\nThe page could not be found."
     text = "Reads of sample {} cover the whole contig at good depth, and two gaps remain to be closed by hand."
-    rows = [(i, page, "h1") for i in range(5)] + [(100 + i, text.format(i), "h2") for i in range(5)]
-    rows += [(200, page, "h2"), (201, page.replace("page", "record"), "h2"), (202, page.replace("page", "file"), None)]  # a copy, and cases of their own
-    monkeypatch.setattr(R, "BROADCAST_LINES", most)
-    got = [r.doc_id for r in R.residue(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()]
-    assert sorted(got) == [*range(5), 200, 201, 202]
+    rows = [(i, page, "h1") for i in range(5)] + [(100 + i, text.format(i), "h2") for i in range(300)]
+    rows += [(500, page, "h2"), (501, page.replace("page", "record"), "h1"), (502, page.replace("page", "file"), "h2")]  # a copy, a case of h1, and content of h2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for most in (R.BROADCAST_CHARS, 0):
+        monkeypatch.setattr(R, "BROADCAST_CHARS", most)
+        assert sorted(r.doc_id for r in R.residue(df).collect()) == [*range(5), 500, 501]
+
+
+HELD_OUT = [  # written down without looking at any table
+    "Pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas. Vestibulum tortor quam, feugiat vitae, ultricies eget, tempor sit amet, ante.",
+    "Maecenas faucibus mollis interdum. Vivamus sagittis lacus vel augue laoreet rutrum faucibus dolor auctor.",
+    "Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium.",
+    "Bandwidth Limit Exceeded",
+    "Checking if the site connection is secure",
+    "Página não encontrada",
+    "Pagina non trovata",
+    "Pagina niet gevonden",
+    "Sayfa bulunamadı",
+    "Strona nie istnieje",
+    "Страница не найдена",
+    "お探しのページが見つかりません",
+    "[404] Not found",
+    "This site requires JavaScript to be enabled.",
+    '{"a": 1}\nDear {{ name }}, the samples were shipped on dry ice last week.',
+]
+HELD_OUT_REAL = [
+    "Bacillus subtilis, Staphylococcus aureus, Lactobacillus acidophilus, Clostridium perfringens, Streptococcus mutans, Enterococcus faecium",
+    "Recruitment Investment Development Environment Management Department Equipment Agreement",
+    "Gallia est omnis divisa in partes tres, quarum unam incolunt Belgae, aliam Aquitani, tertiam qui ipsorum lingua Celtae appellantur.",
+    "Lietuva yra valstybė prie Baltijos jūros, jos sostinė yra Vilnius, didžiausias miestas ir mokslo centras.",
+    "Suomen kielessä on viisitoista sijamuotoa, ja useimmat niistä opitaan jo varhain lapsuudessa.",
+    "El dolor lumbar afecta a muchas personas; el tratamiento depende de la causa y de la edad.",
+    "[000451] GET /records/88 404 Not Found\n[000452] retry after 3 s\n[000453] mirror answered HTTP 200",
+    "We could not find the second motif in any of the 40 sequences, so the family was left unassigned until new data arrive.",
+]
+
+
+@pytest.mark.parametrize("text", HELD_OUT)
+def test_held_out_cases(text):
+    assert R.Judge([])(text)
+
+
+@pytest.mark.parametrize("text", HELD_OUT_REAL)
+def test_held_out_real_texts(text):
+    assert not R.Judge([])(text)
 
 
 def test_lines_that_are_not_in_the_text_do_not_matter():
