@@ -208,3 +208,20 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pat
 
     kind = encoded.schema[id_col].dataType.simpleString()
     return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
+
+
+def roundtrip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
+    """id_col, n_ids and same: how many ids each text has and whether they decode to it again (null counts as empty). One row
+    per input row, repeated rows and null ids included; each text is encoded once, nothing is shuffled or joined."""
+    spec = _spec(docs, path)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(spec.value)
+        for batch in it:
+            texts = [x.as_py() or "" for x in batch.column(1)]
+            ids = [enc.encode(t) for t in texts]
+            same = [enc.decode(x) == t for x, t in zip(ids, texts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int32()), pa.array(same, pa.bool_())], names=[id_col, "n_ids", "same"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_ids int, same boolean")

@@ -1,26 +1,29 @@
 """Problem 7: evaluation passages inside documents.
 
 Method: one Aho-Corasick automaton over the normalised test items. Normalising lower-cases a text and takes its words,
-the maximal runs of letters and digits. Every run of n words of an item is a pattern. Each word of the items has a code
-point of its own, so that the automaton works on words, and a document is translated and scanned once; word offsets lead
-back to the characters of the original text."""
+the maximal runs of letters and digits. Every run of n words of an item is a pattern. Each word of the items is coded by two
+letters of its own, so that the automaton works on words, and a document is translated and scanned once; word offsets lead
+back to the characters of the original text. Items beyond ITEM_CHARS are scanned for in blocks, with an automaton and a pass
+over the documents for each."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import scratch, ship
 from . import kernels as K
 
 WORD = re.compile(r"[^\W_]+")
-#: Items up to this many characters are held in one automaton, broadcast as text; more items are joined by hashed runs.
-ITEM_CHARS = 32_000_000
+#: Characters of the items that are held in one automaton, about: some 100 MB in each Python worker.
+ITEM_CHARS = 2_000_000
+_BUILT: dict[str, Scanner] = {}  # the automaton of the block at hand, one per worker
 
 
 def words(text: str) -> list[str]:
@@ -35,7 +38,7 @@ class Scanner:
         self.code: dict[str, str] = {}
         runs: dict[str, set[int]] = {}
         for item, text in items:
-            w = [self._letter(x) for x in words(text)]
+            w = [self._letters(x) for x in words(text)]
             for i in range(len(w) - n + 1):
                 runs.setdefault("".join(w[i : i + n]), set()).add(item)
         self.auto = ahocorasick.Automaton()
@@ -45,11 +48,12 @@ class Scanner:
             self.auto.make_automaton()
         self.any = bool(runs)
 
-    def _letter(self, w: str) -> str:
+    def _letters(self, w: str) -> str:
+        """First letters and second letters are of different ranges, so that matches can only begin with a word."""
         c = self.code.get(w)
         if c is None:
-            k = len(self.code) + 1
-            c = self.code[w] = chr(k if k < 0xD800 else k + 0x800)  # surrogates left out
+            k = len(self.code)
+            c = self.code[w] = chr(0x100 + (k >> 19)) + chr(0x10000 + (k & 0x7FFFF))
         return c
 
     def hits(self, found: list[str]) -> Iterator[tuple[int, tuple[int, ...]]]:
@@ -57,7 +61,14 @@ class Scanner:
         if not self.any or len(found) < self.n:
             return iter(())
         get = self.code.get
-        return self.auto.iter("".join([get(w, "\0") for w in found]))
+        return ((end >> 1, ids) for end, ids in self.auto.iter("".join([get(w, "\0\0") for w in found])))
+
+
+def _scanner(name: str, items: list[tuple[int, str]], n: int) -> Scanner:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Scanner(items, n)
+    return _BUILT[name]
 
 
 def _origin(text: str, low: str) -> np.ndarray | None:
@@ -67,91 +78,70 @@ def _origin(text: str, low: str) -> np.ndarray | None:
     return np.append(np.repeat(np.arange(len(text)), [len(c.lower()) for c in text]), len(text))
 
 
-def _collected(items: DataFrame, id_col: str, text_col: str) -> list[tuple[int, str]] | None:
-    """The items as a list if their text is small enough to be broadcast, else None."""
-    usable = items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).filter("item_id is not null and text is not null")
-    if (usable.agg(F.sum(F.length("text"))).first()[0] or 0) > ITEM_CHARS:
-        return None
-    return [(r.item_id, r.text) for r in usable.collect()]
+def _scanned(docs: DataFrame, items: DataFrame, n: int, cols: tuple[str, str, str, str], each: Callable[[Scanner, str], list[tuple]], fields: str) -> DataFrame:
+    """(doc_id, item_id, fields) of all documents against all items: each(scanner, text) gives (item_id, ...) for one text."""
+    spark = docs.sparkSession
+    ship(spark)
+    doc_id, doc_text, item_id, item_text = cols
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text")).filter("doc_id is not null and text is not null")
+    i = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).filter("item_id is not null and text is not null").distinct()
+    schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, item_id {i.schema['item_id'].dataType.simpleString()}{fields}"
+    names = [x.split()[0] for x in schema.split(", ")]
+    chars, count = i.agg(F.sum(F.length("text")), F.count("*")).first()
+    blocks = min(count, -(-(chars or 0) // max(1, ITEM_CHARS)))
 
+    def scan(k: int) -> DataFrame:
+        mine = i if blocks <= 1 else i.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        shared, name = spark.sparkContext.broadcast([(r.item_id, r.text) for r in mine.collect()]), uuid.uuid4().hex
 
-def leaked_items(docs: DataFrame, items: DataFrame, n: int = 12, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Distinct (doc_id, item_id): the document contains n or more consecutive words of the item's text.
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            scanner = _scanner(name, shared.value, n)
+            for b in it:
+                out = [(doc, *x) for doc, t in zip(b["doc_id"], b["text"]) for x in each(scanner, t)]
+                yield pd.DataFrame(dict(zip(names, map(K.obj, zip(*out) if out else [()] * len(names)))))
 
-    Null ids and null texts are in no pair; empty texts and items of fewer than n words match nothing. Rows repeated under
-    one id count once. Texts are scanned whole. No shuffle but that of the few results, unless the items are too many to
-    be broadcast (see ITEM_CHARS): then both sides' hashed runs of n words are joined. Other columns aren't read."""
-    ship(docs.sparkSession)
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text")).filter("doc_id is not null and text is not null")
-    held = _collected(items, item_id, item_text)
-    kind, ikind = d.schema["doc_id"].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    if held is None:
-        i = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).filter("item_id is not null and text is not null")
-        mine = i.mapInPandas(_runs(n, "item_id"), f"item_id {ikind}, run long").distinct()
-        return d.mapInPandas(_runs(n, "doc_id"), f"doc_id {kind}, run long").join(mine, "run").select("doc_id", "item_id").distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(held)
+        return d.mapInPandas(run, schema).distinct()
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scan = Scanner(shared.value, n)
-        for b in it:
-            out = [(k, i) for k, t in zip(b["doc_id"], b["text"]) for i in {i for _, ids in scan.hits(words(t)) for i in ids}]
-            yield pd.DataFrame({"doc_id": K.obj([k for k, _ in out]), "item_id": K.obj([i for _, i in out])})
+    if blocks <= 1:
+        return scan(0)
+    out = scratch(spark)
+    for k in range(blocks):
+        scan(k).write.mode("append").parquet(out)
+    return spark.read.schema(schema).parquet(out)
 
-    return d.mapInPandas(run, f"doc_id {kind}, item_id {ikind}").distinct()
 
+def leaked_items(docs: DataFrame, items: DataFrame, n: int = 12, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Distinct (doc_id, item_id): the document contains n or more consecutive words of the item's text.
 
-def _runs(n: int, id_col: str):
-    """Two-stage hash of each run of n words: words by their own hash, runs by a rolling hash over those."""
+    Null ids and null texts are in no pair; empty texts and items of fewer than n words match nothing. Rows repeated under
+    one id count once. Texts are scanned whole, by the same method however many items there are. No shuffle but that of the
+    few results. Other columns aren't read."""
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in it:
-            ids, hashes = [], []
-            for k, t in zip(b[id_col], b["text"]):
-                w = words(t)
-                if len(w) < n:
-                    continue
-                h = np.unique(K.rolling(pd.util.hash_array(np.array(w, dtype=object), categorize=False), n).view(np.int64))
-                ids.append(np.repeat(np.array([k], dtype=object), len(h)))
-                hashes.append(h)
-            yield pd.DataFrame({id_col: K.obj(np.concatenate(ids).tolist() if ids else []), "run": np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.int64)})
+    def each(scan: Scanner, text: str) -> list[tuple]:
+        return [(i,) for i in {i for _, ids in scan.hits(words(text)) for i in ids}]
 
-    return run
+    return _scanned(docs, items, n, (doc_id, doc_text, item_id, item_text), each, "")
 
 
 def leaked_passages(docs: DataFrame, items: DataFrame, n: int = 12, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, char_start, char_end, n_words: the maximal stretches of overlapping matches, in characters of the
-    original text. Nulls as in leaked_items; items beyond ITEM_CHARS are scanned for in blocks of that size."""
-    spark = docs.sparkSession
-    ship(spark)
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text")).filter("doc_id is not null and text is not null")
-    held = _collected(items, item_id, item_text)
-    if held is None:
-        raise ValueError(f"more than {ITEM_CHARS} characters of items: pass them in blocks")
-    shared = spark.sparkContext.broadcast(held)
-    kind, ikind = d.schema["doc_id"].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scan = Scanner(shared.value, n)
-        for b in it:
-            out: list[tuple] = []
-            for k, t in zip(b["doc_id"], b["text"]):
-                low = t.lower()
-                at = [m.span() for m in WORD.finditer(low)]
-                spans: dict[int, list[list[int]]] = {}
-                for end, ids in scan.hits([low[x:y] for x, y in at]):
-                    for i in ids:
-                        s = spans.setdefault(i, [])
-                        if s and end - n + 1 <= s[-1][1] + 1:
-                            s[-1][1] = end
-                        else:
-                            s.append([end - n + 1, end])
-                if spans:
-                    back = _origin(t, low)
-                    for i, s in spans.items():
-                        for x, y in s:
-                            a, z = at[x][0], at[y][1]
-                            out.append((k, i, a if back is None else int(back[a]), z if back is None else int(back[z]), y - x + 1))
-            cols = list(zip(*out)) if out else [()] * 5
-            yield pd.DataFrame({"doc_id": K.obj(cols[0]), "item_id": K.obj(cols[1]), "char_start": np.array(cols[2], dtype=np.int32), "char_end": np.array(cols[3], dtype=np.int32), "n_words": np.array(cols[4], dtype=np.int32)})
-
-    return d.mapInPandas(run, f"doc_id {kind}, item_id {ikind}, char_start int, char_end int, n_words int").distinct()
+    """doc_id, item_id, char_start, char_end, n_words: the maximal stretches of matches that overlap or touch, in characters
+    of the original text. Nulls, blocks and repeated rows as in leaked_items."""
+
+    def each(scan: Scanner, text: str) -> list[tuple]:
+        low = text.lower()
+        at = [m.span() for m in WORD.finditer(low)]
+        spans: dict[int, list[list[int]]] = {}
+        for end, ids in scan.hits([low[x:y] for x, y in at]):
+            for i in ids:
+                s = spans.setdefault(i, [])
+                if s and end - n + 1 <= s[-1][1] + 1:
+                    s[-1][1] = end
+                else:
+                    s.append([end - n + 1, end])
+        if not spans:
+            return []
+        back = _origin(text, low)
+        place = (lambda c: c) if back is None else (lambda c: int(back[c]))
+        return [(i, place(at[x][0]), place(at[y][1]), y - x + 1) for i, s in spans.items() for x, y in s]
+
+    return _scanned(docs, items, n, (doc_id, doc_text, item_id, item_text), each, ", char_start int, char_end int, n_words int")

@@ -125,13 +125,13 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Per document: number of ids, and whether decoding them gives the text again (null counts as empty)."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs)
-    back = bpe.decode(ids).select("doc_id", F.col("text").alias("again"))
-    return (
-        docs.join(back, "doc_id").join(ids.select("doc_id", F.size("ids").alias("n_ids")), "doc_id")
-        .select("doc_id", "n_ids", (F.coalesce("text", F.lit("")) == F.col("again")).alias("same"))
-    )
+    return bpe.roundtrip(table(spark, d, "documents"))
+
+
+@query
+def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The texts, decoded from their ids."""
+    return bpe.decode(bpe.encode(table(spark, d, "documents")))
 
 
 # 7: evaluation texts leaking into training text

@@ -304,7 +304,7 @@ def boilerplate(docs: DataFrame, text_col: str, host_col: str, share: float = 0.
     such lines."""
     bare = F.regexp_replace(F.lower(F.col(text_col)), r"<[^<>\n]*>", "\n")
     even = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", "#"), r"\d+", "#"), r"[^\S\n\r]+", " ")
-    line = F.array_distinct(F.filter(F.transform(F.split(even, r"[\r\n]+"), F.trim), lambda x: F.length(x) > 0))
+    line = F.array_distinct(F.filter(F.transform(F.split(even, r"[\r\n]+"), lambda x: F.trim(x)), lambda x: F.length(x) > 0))
     short = F.filter(line, lambda x: (F.length(x) >= 4) & (F.size(F.split(x, " ")) <= most_words))
     d = docs.filter(F.col(text_col).isNotNull())
     n = d.select(_host(host_col).alias("host")).groupBy("host").agg(F.count("*").alias("docs"))

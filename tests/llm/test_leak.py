@@ -60,3 +60,18 @@ def test_passages_lead_back_to_the_text(spark):
     (r,) = leak.leaked_passages(d, i).collect()
     assert doc[r.char_start : r.char_end].startswith("The İstanbul") and doc[r.char_start : r.char_end].endswith("eleven")
     assert r.n_words == len(leak.words(item))
+
+
+def test_passages_alike_in_blocks(spark, monkeypatch):
+    docs, items = corpus(4)
+    d, i = frames(spark, docs, items)
+    whole = {tuple(r) for r in leak.leaked_passages(d, i).collect()}
+    monkeypatch.setattr(leak, "ITEM_CHARS", 1500)
+    assert whole and {tuple(r) for r in leak.leaked_passages(d, i).collect()} == whole
+
+
+def test_more_words_than_code_points():
+    s = leak.Scanner([], 12)
+    n = 1_200_000
+    codes = {s._letters(str(k)) for k in range(n)}
+    assert len(codes) == n and all(len(x) == 2 and x[0] < "\ud800" <= x[1] for x in codes)
