@@ -70,9 +70,7 @@ def _evaluation(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    ev = _evaluation(spark, d)
-    found = similar.cross_split(ev, table(spark, d, "train_seqs"), "id", clean("sequence"), t=0.6)
-    return found.join(ev.select(F.col("id").alias("eval_id"), "split_name").distinct(), "eval_id").select("split_name", "eval_id", "train_id")
+    return similar.cross_split(_evaluation(spark, d), table(spark, d, "train_seqs"), "id", clean("sequence"), t=0.6, split=F.col("split_name"))
 
 
 @query

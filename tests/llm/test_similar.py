@@ -108,3 +108,52 @@ def test_cross_split_against_all_pairs(spark, seed):
     want = {p for p, v in pairs.items() if v >= 0.6} | {("x1", "ty1")}
     clear = {p for p, v in pairs.items() if v >= 0.62}
     assert got <= want and clear <= got and ("x1", "ty1") in got and ("x4", "ty4") in got
+
+
+def test_small_sets_are_exact(spark):
+    r = random.Random(11)
+    rows = []
+    for f in range(120):
+        base = [r.choice("ACDE") for _ in range(r.randint(5, 40))]
+        for c in range(4):
+            x = list(base)
+            for _ in range(r.randint(0, 2)):
+                x[r.randrange(len(x))] = r.choice("ACDE")
+            rows.append((f"{f:03d}-{c}", "".join(x) + r.choice(["", "A"])))
+    # with no subsets for large sets to speak of, all pairs come from the enumeration
+    got = {tuple(x) for x in similar.near_duplicates(spark.createDataFrame(rows, "id string, s string"), "id", F.col("s"), levels=((3, 400), (6, 2))).collect()}
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and near(x, y) >= 0.7}
+    assert got == want and len(want) > 100
+    base = similar.classes(spark.createDataFrame(rows, "id string, s string"), "id", F.col("s"))
+    assert similar.boundary(base, 0.7, 5, 400) >= 40
+    assert 1 <= similar.boundary(base, 0.7, 5, 24) <= 40
+    assert similar.boundary(base.limit(0), 0.7, 5, 24) >= 1
+
+
+def test_long_lists_are_paired_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 7)
+    left = [(b, c) for b, n in ((1, 40), (2, 5), (3, 1), (4, 8)) for c in range(n)]
+    df = spark.createDataFrame(left, "band long, c long")
+    got = [tuple(sorted((r.a.c, r.b.c))) + (0,) for r in similar.paired(df).filter("a.c < 1000").collect()]
+    want = {(x, y, 0) for b, n in ((1, 40), (2, 5), (4, 8)) for x in range(n) for y in range(x + 1, n)}
+    assert set(got) == want
+    right = [(b, c) for b, n in ((1, 30), (2, 3), (5, 9)) for c in range(100, 100 + n)]
+    got = [(r.a.c, r.b.c) for r in similar.paired(df, spark.createDataFrame(right, "band long, c long")).collect()]
+    want = [(x, y) for x in range(40) for y in range(100, 130)] + [(x, y) for x in range(5) for y in range(100, 103)]
+    assert sorted(got) == sorted(want)
+
+
+def test_a_family_gives_all_its_links(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 20)
+    base = family(12, 1, 1, 0)[0][1] * 2
+    rows = [(f"{i:04d}", base[:i] + "ACDEFGHIKLMNPQRSTVWY"[i % 20] + base[i + 1 :]) for i in range(120)]
+    got = {tuple(x) for x in similar.near_duplicates(spark.createDataFrame(rows, "id string, s string"), "id", F.col("s")).collect()}
+    assert got == {(a, b) for a, x in rows for b, y in rows if a < b and near(x, y) >= 0.7}
+
+
+def test_one_id_in_two_evaluation_splits(spark):
+    a, b = family(13, 2, 1, 0)
+    ev = spark.createDataFrame([("e", a[1], "valid"), ("e", b[1], "test"), ("e", a[1][:-3], None), (None, a[1], "valid")], "id string, s string, part string")
+    tr = spark.createDataFrame([("t", a[1])], "id string, s string")
+    got = {tuple(x) for x in similar.cross_split(ev, tr, "id", F.col("s"), split=F.col("part")).collect()}
+    assert got == {("valid", "e", "t"), (None, "e", "t")}
