@@ -9,8 +9,9 @@ Counting all n-windows would shuffle some forty bytes per character. Two levels
 2. Around recurring anchors the n-windows themselves are hashed and counted in the same way, within groups keyed by the
    anchor and n/2 characters more; equal surroundings are combined before the shuffle. Windows decide, not anchors.
 
-No pairs of records are formed at any time, so a passage held by a third of all records costs what any other costs.
-"""
+At the ends of a passage held by very many records each record has surroundings of its own, so that a group would grow with
+the records. Anchors with more than HOT occurrences therefore form no groups: the n-windows around them are counted one by
+one, as rows of an aggregation by min and max of the record. No pairs of records are formed at any time."""
 
 from __future__ import annotations
 
@@ -21,10 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import Stored, ship
 from . import kernels as K
 
 OUT = "rec_id string, span_start int, span_len int"
+#: A group of level 2 has at most this many surroundings; some 50 MB in a worker.
+HOT = 20_000
 
 
 def _anchor_rows(n: int, k: int, most: int = 2_000_000):
@@ -133,6 +136,32 @@ def _shared_starts(n: int):
     return run
 
 
+def _windows(n: int, k: int, combined: bool, most: int = 2_000_000):
+    """The n-windows that hold a hot anchor: (w, lo, hi), equal ones of a batch combined, or (id, s, w) with their starts."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            for r_lo, r_hi in K.chunks(b["text"].tolist(), most):
+                part = b.iloc[r_lo:r_hi]
+                codes, off = K.concat(part["text"].tolist())
+                h = K.rolling(codes, n)
+                starts = []
+                for x, y, places in zip(off, off[1:], part["hot"]):
+                    near = np.unique((np.asarray(places, dtype=np.int64)[:, None] + np.arange(k - n, 1)[None, :]).ravel())
+                    starts.append(near[(near >= 0) & (near <= y - x - n)])
+                row = np.repeat(np.arange(len(part)), [len(x) for x in starts])
+                at = np.concatenate(starts) if starts else np.zeros(0, dtype=np.int64)
+                w = h[off[row] + at] if len(at) else h[:0]
+                if combined:
+                    rec = part["rec"].to_numpy()[row]
+                    got = pd.DataFrame({"w": w.view(np.int64), "lo": rec, "hi": rec})
+                    yield got.groupby("w", as_index=False).agg({"lo": "min", "hi": "max"})[["w", "lo", "hi"]]
+                else:
+                    yield pd.DataFrame({"id": K.obj(part["id"].to_numpy()[row].tolist()), "s": at.astype(np.int32), "w": w.view(np.int64)})
+
+    return run
+
+
 def _merge(n: int):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
@@ -160,13 +189,18 @@ def shared_spans(records: DataFrame, id_col: str = "id", text_col: str = "text",
     ship(spark)
     n, k = min_len, max(1, min(k, min_len // 2))
     base = records.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= n))
-    short = F.shiftrightunsigned(F.xxhash64("id"), 20)  # names a record in level 1, where a clash only adds candidates to look at
-    occ = base.select(short.alias("rec"), "text").mapInPandas(_anchor_rows(n, k), "h long, rec long, pos int")
-    again = occ.groupBy("h").agg(F.min("rec").alias("a"), F.max("rec").alias("b")).filter("a <> b").select("h")
-    places = occ.join(again, "h", "left_semi").groupBy("rec").agg(F.collect_set("pos").alias("places"))
-    around = base.withColumn("short", short).join(places.withColumnRenamed("rec", "short"), "short").select("id", F.xxhash64("id").alias("rec"), "text", "places")
-    distinct = around.mapInPandas(_contexts(n, k, True), "key long, ctx string, lo long, hi long")
+    rec = F.xxhash64("id")
+    occ = base.select(rec.alias("rec"), "text").mapInPandas(_anchor_rows(n, k), "h long, rec long, pos int")
+    again = Stored(occ.groupBy("h").agg(F.min("rec").alias("a"), F.max("rec").alias("b"), F.count("*").alias("n")).filter("a <> b").select("h", (F.col("n") > HOT).alias("hot"))).df
+    places = occ.join(again, "h").groupBy("rec").agg(F.collect_set(F.expr("if(not hot, pos, null)")).alias("places"), F.collect_set(F.expr("if(hot, pos, null)")).alias("hot"))
+    around = base.withColumn("rec", rec).join(places, "rec").select("id", "rec", "text", "places", "hot")
+    cold = around.filter(F.size("places") > 0)
+    distinct = cold.mapInPandas(_contexts(n, k, True), "key long, ctx string, lo long, hi long")
     found = distinct.repartition("key").sortWithinPartitions("key").mapInPandas(_shared_starts(n), "key long, ch long, starts array<int>")
-    mine = around.mapInPandas(_contexts(n, k, False), "id string, at int, key long, ch long")
+    mine = cold.mapInPandas(_contexts(n, k, False), "id string, at int, key long, ch long")
     starts = mine.join(found, ["key", "ch"]).select("id", F.explode(F.transform("starts", lambda x: x + F.col("at"))).alias("s"))
+    if not again.filter("hot").isEmpty():
+        hot = around.filter(F.size("hot") > 0)
+        shared = hot.mapInPandas(_windows(n, k, True), "w long, lo long, hi long").groupBy("w").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("w")
+        starts = starts.unionByName(hot.mapInPandas(_windows(n, k, False), "id string, s int, w long").join(shared, "w", "left_semi").select("id", "s"))
     return starts.groupBy("id").agg(F.collect_set("s").alias("starts")).mapInPandas(_merge(n), OUT)

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from helixframe.llm import kernels as K
+from helixframe.llm import spans
 from helixframe.llm.spans import _anchor_rows, shared_spans
 
 
@@ -122,3 +123,13 @@ def test_every_window_has_an_anchor():
     for a, b in zip(off[:-1], off[1:]):
         for s in range(a, b - 30 + 1):
             assert any(p in at for p in range(s, s + 23))
+
+
+def test_hot_anchors_alike(spark, monkeypatch):
+    hot = letters(15, "ACDEFGHIKL", 60)
+    rows = [(f"p{i}", letters(100 + i, "ACDEFGHIKL", 40 + i % 7) + hot + letters(300 + i, "ACDEFGHIKL", 50)) for i in range(80)] + corpus(16, "ACDEFGHIKL", 40)
+    rows += [("p0", hot[5:] + letters(17, "ACDEFG", 30)), ("x", None), ("y", hot[:49])]
+    want = brute(rows, 50)
+    for most in (spans.HOT, 30, 0):  # no anchor, some, all
+        monkeypatch.setattr(spans, "HOT", most)
+        assert run(spark, rows, 50) == want
