@@ -128,7 +128,7 @@ def test_every_window_has_an_anchor():
 def test_hot_anchors_alike(spark, monkeypatch):
     hot = letters(15, "ACDEFGHIKL", 60)
     rows = [(f"p{i}", letters(100 + i, "ACDEFGHIKL", 40 + i % 7) + hot + letters(300 + i, "ACDEFGHIKL", 50)) for i in range(80)] + corpus(16, "ACDEFGHIKL", 40)
-    rows += [("p0", hot[5:] + letters(17, "ACDEFG", 30)), ("x", None), ("y", hot[:49])]
+    rows += [("q0", hot[5:] + letters(17, "ACDEFG", 30)), ("x", None), ("y", hot[:49])]
     want = brute(rows, 50)
     for most in (spans.HOT, 30, 0):  # no anchor, some, all
         monkeypatch.setattr(spans, "HOT", most)
