@@ -5,6 +5,7 @@ are placed by label, the rarest outstanding label first, into the split that nee
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,76 +74,89 @@ def related_groups(records: DataFrame, id_col: str, keys: list[Column]) -> DataF
     return components(links(records, id_col, keys))
 
 
-def grouped_split(
-    records: DataFrame, id_col: str, keys: list[Column], label: Column, fractions: dict[str, float], large: float = 1e-4, max_labels: int = 50, buckets: int = 1024
-) -> DataFrame:
-    """id, group_id, label, split for every record; no group is divided, and splits hold their fractions of the records, and
-    of each label, as nearly as the groups allow. Deterministic.
+#: Label counts of large groups that the driver holds at most; a label with more values is no stratification label.
+VECTORS = 2_000_000
 
-    Groups of at least `large` of all records, of which there are 1 / large at most, are placed one by one: those with the
-    rarest outstanding label first, larger before smaller, into the split whose outstanding need of that label is
-    greatest. The other groups are placed by rarest label too, all those of a label at once: ordered by hash, they are cut
-    where the splits' outstanding needs of that label end. Cuts are found from sums over hash buckets, so only buckets that
-    hold a cut are ordered row by row. Labels beyond the max_labels most frequent are one label.
 
-    A null label is a label of its own. Records without keys are groups of one. A record with several labels has the least."""
+def _place(vectors: dict[str, dict[str, int]], totals: dict[str, int], fractions: dict[str, float]) -> dict[str, str]:
+    """Iterative stratification of whole groups: those with the rarest outstanding label first, larger before smaller, each
+    into the split whose outstanding need of that label is greatest."""
     names = list(fractions)
-    total_f = sum(fractions.values())
-    if abs(total_f - 1) > 1e-6 or min(fractions.values()) < 0:
-        raise ValueError(f"fractions must be at least 0 and sum to 1: {fractions}")
-    rec = records.select(F.col(id_col).cast("string").alias("id"), F.coalesce(label.cast("string"), F.lit("(null)")).alias("label")).filter("id is not null").groupBy("id").agg(F.min("label").alias("label"))
-    groups = related_groups(records, id_col, keys)
-    base = Stored(rec.join(groups, "id", "left").select("id", "label", F.coalesce("group_id", "id").alias("group_id"))).df
-    spark = base.sparkSession
-    totals = {r.label: r.n for r in base.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(max_labels).collect()}
-    n = base.count()
-    if totals and n > sum(totals.values()):
-        totals["(other)"] = n - sum(totals.values())
-    known = F.when(F.col("label").isin(*totals), F.col("label")).otherwise("(other)") if totals else F.col("label")
-    need = {s: {x: fractions[s] * c for x, c in totals.items()} for s in names}
-    rare = sorted(totals, key=lambda x: (totals[x], x))
-    order = F.create_map(*[F.lit(y) for i, x in enumerate(rare) for y in (x, i)]) if rare else None
-    parts = base.select("group_id", known.alias("l")).groupBy("group_id", "l").agg(F.count("*").alias("n"))
-    if order is None:
-        return base.select("id", "group_id", "label", F.lit(names[0]).alias("split"))
-    sized = parts.withColumn("o", order[F.col("l")]).groupBy("group_id").agg(F.sum("n").alias("size"), F.min("o").alias("o"))
-    sized = Stored(sized.withColumn("h", F.xxhash64("group_id"))).df
-    cut = max(2.0, large * n)
-    big = sized.filter(F.col("size") >= cut)  # 1 / large groups at most
-    vectors: dict[str, dict[str, int]] = {}
-    for r in parts.join(big.select("group_id"), "group_id").collect():
-        vectors.setdefault(r.group_id, {})[r.l] = r.n
+    need = {s: {x: fractions[s] * n for x, n in totals.items()} for s in names}
+    room = {s: sum(need[s].values()) for s in names}
+    outstanding: dict[str, int] = {}
+    holders: dict[str, list[str]] = {}
+    for g, v in vectors.items():
+        for x, n in v.items():
+            outstanding[x] = outstanding.get(x, 0) + n
+            holders.setdefault(x, []).append(g)
+    heap = [(n, x) for x, n in outstanding.items()]
+    heapq.heapify(heap)
     placed: dict[str, str] = {}
-    left = set(vectors)
-    outstanding = {x: sum(v.get(x, 0) for v in vectors.values()) for x in rare}
-    while left:
-        x = min((x for x in rare if outstanding[x] > 0), key=lambda x: (outstanding[x], x))
-        for g in sorted((g for g in left if x in vectors[g]), key=lambda g: (-sum(vectors[g].values()), g)):
+    while heap:
+        n, x = heapq.heappop(heap)
+        if n != outstanding[x]:
+            continue  # it has become rarer since and stands in the heap again
+        for g in sorted((g for g in holders[x] if g not in placed), key=lambda g: (-sum(vectors[g].values()), g)):
             size = sum(vectors[g].values())
-            s = max(names, key=lambda s: (need[s][x] >= vectors[g][x], need[s][x], sum(need[s].values()) >= size, -names.index(s)))
+            s = max(names, key=lambda s: (need[s][x] >= vectors[g][x], need[s][x], room[s] >= size, -names.index(s)))
             placed[g] = s
-            left.discard(g)
+            room[s] -= size
             for y, k in vectors[g].items():
                 need[s][y] -= k
                 outstanding[y] -= k
+                if y != x and outstanding[y]:
+                    heapq.heappush(heap, (outstanding[y], y))
+    return placed
+
+
+def grouped_split(records: DataFrame, id_col: str, keys: list[Column], label: Column, fractions: dict[str, float], large: float = 1e-4, buckets: int = 1024) -> DataFrame:
+    """id, group_id, label, split for every record; no group is divided, and splits hold their fractions of the records, and
+    of each label, as nearly as the groups allow. Deterministic.
+
+    Groups of at least `large` of all records, of which there are 1 / large at most, are placed one by one (see _place). The
+    other groups are placed by their rarest label too, all those of a label at once: ordered by hash, they are cut where the
+    splits' outstanding needs of that label end. Cuts are found from sums over hash buckets, so that no label's groups are
+    ordered in one task. Every value of the label counts, however rare; ValueError if the large groups alone hold more than
+    VECTORS different (group, label) pairs.
+
+    A null label is a label of its own. Records without keys are groups of one. A record whose rows have several labels
+    counts under each of them, and is given out with the least."""
+    names = list(fractions)
+    if abs(sum(fractions.values()) - 1) > 1e-6 or min(fractions.values()) < 0:
+        raise ValueError(f"fractions must be at least 0 and sum to 1: {fractions}")
+    rec = records.select(F.col(id_col).cast("string").alias("id"), F.coalesce(label.cast("string"), F.lit("(null)")).alias("l")).filter("id is not null").distinct()
+    base = Stored(rec.join(related_groups(records, id_col, keys), "id", "left").select("id", "l", F.coalesce("group_id", "id").alias("group_id"))).df
+    spark = base.sparkSession
+    parts = base.groupBy("group_id", "l").agg(F.count("*").alias("n"))
+    totals = Stored(base.groupBy("l").agg(F.count("*").alias("total"))).df
+    rarest = parts.join(totals, "l").groupBy("group_id").agg(F.sum("n").alias("size"), F.min(F.struct("total", "l"))["l"].alias("l"))
+    sized = Stored(rarest.withColumn("h", F.xxhash64("group_id"))).df
+    cut = max(2.0, large * base.count())
+    big = sized.filter(F.col("size") >= cut).select("group_id")  # 1 / large groups at most
+    held = parts.join(big, "group_id").join(totals, "l")
+    rows = held.limit(VECTORS + 1).collect()
+    if len(rows) > VECTORS:
+        raise ValueError(f"more than {VECTORS} pairs of a large group and a label: the label has too many values to stratify by")
+    vectors: dict[str, dict[str, int]] = {}
+    for r in rows:
+        vectors.setdefault(r.group_id, {})[r.l] = r.n
+    placed = spark.createDataFrame(list(_place(vectors, {r.l: r.total for r in rows}, fractions).items()), "group_id string, split string")
+    # what the large groups leave of each label's needs
+    taken = parts.join(F.broadcast(placed), "group_id").groupBy("l").agg(*[F.sum(F.when(F.col("split") == s, F.col("n")).otherwise(0)).alias(f"t{i}") for i, s in enumerate(names)])
+    wants = totals.join(taken, "l", "left").select("l", F.array(*[F.greatest(F.lit(0.0), F.lit(fractions[s]) * F.col("total") - F.coalesce(f"t{i}", F.lit(0))) for i, s in enumerate(names)]).alias("want"))
     rest = sized.filter(F.col("size") < cut).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
-    sums: dict[int, list[tuple[int, int]]] = {}
-    for r in rest.groupBy("o", "bucket").agg(F.sum("size").alias("n")).collect():  # labels x buckets rows at most
-        sums.setdefault(r.o, []).append((r.bucket, r.n))
-    plan = []  # (label order, bucket, records before, first record of the second split, of the third, ...)
-    for o, rows in sums.items():
-        here = sum(k for _, k in rows)
-        want = [max(0.0, need[s][rare[o]]) for s in names]
-        want = [w / (sum(want) or 1) * here for w in want] if sum(want) else [fractions[s] * here for s in names]
-        edges = [sum(want[: i + 1]) for i in range(len(names) - 1)]
-        before = 0
-        for b, k in sorted(rows):
-            plan.append((o, b, float(before), [float(e) for e in edges]))
-            before += k
-    plan_df = spark.createDataFrame(plan, "o int, bucket int, before double, edges array<double>")
-    w = Window.partitionBy("o", "bucket").orderBy("h", "group_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rest.groupBy("l", "bucket").agg(F.sum("size").alias("n"))
+    to_here = Window.partitionBy("l").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # `buckets` rows a label
+    sums = sums.select("l", "bucket", (F.sum("n").over(to_here) - F.col("n")).cast("double").alias("before"), F.sum("n").over(Window.partitionBy("l")).alias("here"))
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    even = F.array(*[F.lit(float(fractions[s])) for s in names])
+    plan = sums.join(wants, "l").withColumn("want", F.when(add(F.col("want")) > 0, F.col("want")).otherwise(even))
+    edges = F.transform(F.sequence(F.lit(1), F.lit(len(names) - 1)), lambda i: add(F.slice("want", 1, i)) / add(F.col("want")) * F.col("here")) if len(names) > 1 else F.array().cast("array<double>")
+    plan = plan.select("l", "bucket", "before", edges.alias("edges"))
+    w = Window.partitionBy("l", "bucket").orderBy("h", "group_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     mid = F.col("before") + F.sum("size").over(w) - F.col("size") / 2  # a group goes where its middle lies
     number = F.size(F.filter("edges", lambda e: e <= F.col("mid")))
-    small = rest.join(F.broadcast(plan_df), ["o", "bucket"]).withColumn("mid", mid).select("group_id", F.element_at(F.array(*[F.lit(s) for s in names]), number + 1).alias("split"))
-    big_df = spark.createDataFrame(list(placed.items()), "group_id string, split string")
-    return base.join(small.unionByName(big_df), "group_id").select("id", "group_id", "label", "split")
+    small = rest.join(plan, ["l", "bucket"]).withColumn("mid", mid).select("group_id", F.element_at(F.array(*[F.lit(s) for s in names]), number + 1).alias("split"))
+    one = base.groupBy("id", "group_id").agg(F.min("l").alias("label"))
+    return one.join(small.unionByName(placed), "group_id").select("id", "group_id", "label", "split")

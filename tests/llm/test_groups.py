@@ -79,3 +79,25 @@ def test_split_edges(spark):
     one = spark.createDataFrame([("a", "x", None), ("b", "x", "L"), (None, "x", "L")], "id string, k string, l string")
     out = groups.grouped_split(one, "id", [groups.key("k")], F.col("l"), {"train": 0.9, "test": 0.1}).collect()
     assert [(x.id, x.split) for x in sorted(out)] == [("a", "train"), ("b", "train")]
+
+
+def test_rare_labels_and_whole_vectors(spark, monkeypatch):
+    r = random.Random(5)
+    # 150 labels, each in 40 records of groups of their own: every one of them is balanced
+    rows = [(f"{n:03d}-{i:02d}", f"k{n}-{i}", f"label{n}") for n in range(150) for i in range(40)]
+    rows += [(f"m{i}", f"big{i % 4}", r.choice(["x", "y"])) for i in range(400)] + [("m0", "big0", "z"), ("m0", "big0", "w")]
+    df = spark.createDataFrame(rows, "id string, k string, l string")
+    out = groups.grouped_split(df, "id", [groups.key("k")], F.col("l"), {"train": 0.5, "test": 0.5}, large=0.01).collect()
+    assert len(out) == 6400 and all(len({x.split for x in out if x.group_id == g}) == 1 for g in {x.group_id for x in out})
+    for n in range(150):
+        assert sum(x.label == f"label{n}" and x.split == "test" for x in out) == 20
+    assert {x.label for x in out if x.id == "m0"} == {min({b[2] for b in rows if b[0] == "m0"})}
+    monkeypatch.setattr(groups, "VECTORS", 3)
+    with pytest.raises(ValueError):
+        groups.grouped_split(df, "id", [groups.key("k")], F.col("l"), {"train": 0.5, "test": 0.5}, large=0.01)
+
+
+def test_the_rarest_label_is_placed_first():
+    vectors = {"a": {"x": 50, "rare": 1}, "b": {"x": 60}, "c": {"x": 40, "rare": 1}, "d": {"x": 50}}
+    placed = groups._place(vectors, {"x": 200, "rare": 2}, {"train": 0.5, "test": 0.5})
+    assert placed["a"] != placed["c"] and placed["b"] != placed["d"]
