@@ -172,6 +172,11 @@ def first_filled(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols], F.lit(""))
 
 
+def required(*cols: Column) -> Column:
+    """The first value that is neither null nor empty; a row without one is an error."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols], F.raise_error(F.lit("neither sequence nor protein")))
+
+
 def first_number(*cols: Column) -> Column:
     """The first value that can be read as a number; null if none can."""
     return F.coalesce(*[c.try_cast("double") for c in cols])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..operators import corpus as C
-from ..runtime import scratch, shared_dir, table
+from ..runtime import scratch, table
 from ..sources import json_array as J
 from ..sources import records as I
 from ..sources import sinks as W
@@ -61,58 +61,93 @@ def jsonl_tolerant(spark: SparkSession, d: str) -> DataFrame:
  select row_id, pos::int as ord from (select row_id, unnest(range(len(json_keys(j))))::int as pos, unnest(list_transform(json_keys(j), lambda x: json_type(j, '$."' || x || '"'))) as kind from k where a is null and json_type(j) = 'OBJECT') where kind = 'OBJECT'""")
 def root_shapes(spark: SparkSession, d: str) -> DataFrame:
     """Places of the root objects: arrays, wrapped arrays, objects of objects."""
-    from ..operators.nested import parse
+    return J.documents_to_operons(table(spark, d, "atlas_raw"), "row_id", "payload").select("row_id", F.col("ord").cast("int").alias("ord"))
 
-    t = table(spark, d, "atlas_raw").select("row_id", "payload")
-    return _places(t, parse)
 
+@query("""with o as (select row_id, json_extract(payload, '$') as j from atlas_raw where json_valid(payload)), k as (select row_id, case when json_type(j, '$.items') = 'ARRAY' then json_extract(j, '$.items')
+ when json_type(j, '$.records') = 'ARRAY' then json_extract(j, '$.records') when json_type(j, '$.data') = 'ARRAY' then json_extract(j, '$.data') when json_type(j, '$.operons') = 'ARRAY' then json_extract(j, '$.operons') end as a
+ from o where json_type(j) = 'OBJECT'), e as (select row_id, unnest(range(json_array_length(a)::bigint))::int as ord, unnest(from_json(a, '["json"]')) as v from k where a is not null)
+ select row_id, ord, json_extract_string(v, '$.operon_id') as operon_id from e where json_type(v) = 'OBJECT'""")
+def root_shapes_reversed(spark: SparkSession, d: str) -> DataFrame:
+    """Objects that wrap an array, with the wrapper keys tried in the reverse order."""
+    t = table(spark, d, "atlas_raw").filter(J.root_kinds(F.col("payload")) == "object")
+    o = J.documents_to_operons(t, "row_id", "payload", tuple(reversed(J.WRAPPERS)))
+    wrapped = [F.expr(f"coalesce(startswith(schema_of_variant(try_variant_get(try_parse_json(payload), '$.{k}', 'variant')), 'ARRAY'), false)") for k in J.WRAPPERS]
+    holds = t.select("row_id").filter(wrapped[0] | wrapped[1] | wrapped[2] | wrapped[3])
+    return o.join(holds, "row_id", "left_semi").select("row_id", F.col("ord").cast("int").alias("ord"), F.expr("try_variant_get(value, '$.operon_id', 'string')").alias("operon_id"))
 
-def _places(t: DataFrame, parse) -> DataFrame:
-    import pandas as pd
 
-    from ..runtime import ship
+@query("""select row_id, case left(trim(payload, ' ' || chr(9) || chr(10) || chr(13)), 1) when '[' then 'array' when '{' then 'object' end as kind from atlas_raw where payload is not null""")
+def root_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """What each payload's first character says of its root."""
+    return table(spark, d, "atlas_raw").filter("payload is not null").select("row_id", J.root_kinds(F.col("payload")).alias("kind"))
 
-    ship(t.sparkSession)
 
-    def run(it):
-        for b in it:
-            out = []
-            for k, x in zip(b["row_id"], b["payload"]):
-                ok, v = parse(x)
-                if not ok:
-                    continue
-                if isinstance(v, dict):
-                    v = next((v[w] for w in J.WRAPPERS if isinstance(v.get(w), list)), list(v.values()))
-                out += [(k, n) for n, y in enumerate(v) if isinstance(y, dict)] if isinstance(v, list) else []
-            yield pd.DataFrame(out, columns=["row_id", "ord"]).astype({"row_id": "int64", "ord": "int32"})
-
-    return t.mapInPandas(run, "row_id bigint, ord int")
+def _array_file(rows: DataFrame, path: str) -> str:
+    """One file that holds rows (ord, value) as a JSON array, written by one task as such files are; its path."""
+    text = F.concat(F.when(F.col("ord") == 0, "[").otherwise(","), F.col("value"))
+    last = rows.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("m")).select((F.col("m") + 1).alias("ord"), F.when(F.col("m") < 0, "[]").otherwise("]").alias("line"))
+    rows.select("ord", text.alias("line")).unionByName(last).coalesce(1).sortWithinPartitions("ord").select("line").write.text(path)
+    return rows.sparkSession.read.text(path).select(F.input_file_name().alias("f")).first().f
 
 
 @query(f"with {SQL_RECORDS} select row_number() over (order by id) - 1 as ord, id, length(s)::int as n from recs")
 def json_array_scan(spark: SparkSession, d: str) -> DataFrame:
     """One large JSON array, read piece by piece."""
-    import os
-    import tempfile
-
-    rows = records(spark, d).select("id", F.col("s").alias("sequence")).orderBy("id")
-    fd, path = tempfile.mkstemp(suffix=".json", dir=_local(spark))
-    with os.fdopen(fd, "w", encoding="utf-8") as f:  # the array is written by one process, as such files are
-        f.write("[")
-        for n, r in enumerate(rows.select(F.to_json(F.struct("id", "sequence")).alias("v")).toLocalIterator()):
-            f.write((",\n" if n else "") + r.v)
-        f.write("]\n")
-    e = J.read_array_incrementally(spark, [path], 1 << 16)
+    rows = C.with_ordinal(records(spark, d).select("id", F.col("s").alias("sequence")), ["id"]).select("ord", F.to_json(F.struct("id", "sequence")).alias("value"))
+    e = J.read_array_incrementally(spark, [_array_file(rows, scratch(spark))], 1 << 16)
     return e.select("ord", F.get_json_object("value", "$.id").alias("id"), F.length(F.get_json_object("value", "$.sequence")).alias("n"))
 
 
-def _local(spark: SparkSession) -> str:
-    """The shared folder as a local path: a file the driver writes and executors read must lie there."""
-    import os
+@query(f"with {SQL_RECORDS} select id, s as sequence from recs")
+def json_array_whole(spark: SparkSession, d: str) -> DataFrame:
+    """A JSON array of moderate size, read with a schema at once; its root is looked at first."""
+    rows = C.with_ordinal(records(spark, d).select("id", F.col("s").alias("sequence")), ["id"]).select("ord", F.to_json(F.struct("id", "sequence")).alias("value"))
+    p = scratch(spark)
+    _array_file(rows, p)
+    if J.sniff(spark, p) != "array":
+        raise ValueError("the file's root is no array")
+    return J.read_array(spark, p, "id string, sequence string")
+
+
+@query(f"with {SQL_RECORDS} select s as sequence from recs where s <> ''")
+def fasta_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """The sequences of a FASTA file without their headers."""
+    p = scratch(spark)
+    W.write_fasta(records(spark, d).select("id", F.col("s").alias("sequence"), "subtype"), p)
+    return I.read_fasta_sequences(spark, p)
+
+
+@query(f"with {SQL_RECORDS} select kind, id, s as sequence from recs, (values ('csv'), ('fasta'), ('jsonl')) k(kind) where s <> ''")
+def by_suffix(spark: SparkSession, d: str) -> DataFrame:
+    """The same records in three forms, each read by the suffix of its path."""
+    p, r = scratch(spark), records(spark, d).filter("s <> ''").select("id", F.col("s").alias("sequence"), "subtype")
+    W.write_csv(r, f"{p}/a.csv", ["id", "sequence"])
+    W.write_fasta(r, f"{p}/a.fasta")
+    W.write_jsonl(r.select("id", "sequence"), f"{p}/a.jsonl")
+    csv, fasta, jsonl = (I.read_records(spark, f"{p}/a.{k}").select(F.lit(k).alias("kind"), "id", "sequence") for k in ("csv", "fasta", "jsonl"))
+    return csv.unionByName(fasta).unionByName(jsonl)
+
 
-    p = shared_dir(spark).removeprefix("file://").removeprefix("file:")
-    os.makedirs(p, exist_ok=True)
-    return p
+@query("""with s as (select event_type, value, row_number() over (partition by event_type order by value) - 1 as k, count(*) over (partition by event_type) as n from events where value is not null)
+ select event_type as name, max(case when k = round_even((n - 1) * 0.1::double, 0) then value end) as low, max(case when k = round_even((n - 1) * 0.9::double, 0) then value end) as high from s group by 1""")
+def calibration_file(spark: SparkSession, d: str) -> DataFrame:
+    """Calibration ramps through their settings file, whose sections are checked."""
+    from .stats import calibration_quantiles
+
+    p = f"{scratch(spark)}/calibration.yaml"
+    I.write_calibration({r.event_type: (r.low, r.high) for r in calibration_quantiles(spark, d).collect()}, p)  # one row a kind of metric
+    ramps = I.checked_config(I.read_config(p), {"reward": {"calibration"}})["reward"]["calibration"]
+    return spark.createDataFrame([(k, float(v["low"]), float(v["high"])) for k, v in ramps.items()], "name string, low double, high double")
+
+
+@query(f"with {SQL_RECORDS} select id, true as utc, true as now from recs")
+def cache_times(spark: SparkSession, d: str) -> DataFrame:
+    """New cache rows bear the time of writing, in UTC to the microsecond."""
+    p = scratch(spark)
+    W.append_cache(records(spark, d).select("id", "h"), p)
+    t = F.col("created_at")
+    return spark.read.parquet(p).select("id", t.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}(Z|\+00:00)$").alias("utc"), (F.abs(F.unix_timestamp() - F.unix_timestamp(F.to_timestamp(t))) < 3600).alias("now"))
 
 
 @query("with g as (select row_id, case when len(cas) > 0 then cas end as c from crispr_cas_atlas) select row_id, len(c)::int as n_entries from g where c is not null")
@@ -151,20 +186,24 @@ def structure_files(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("vec_id").agg(F.round(F.sum(F.col("mean_plddt") * F.col("atoms")) / F.sum("atoms"), 3).alias("mean_plddt"), F.sum("atoms").alias("atoms"))
 
 
+@query("select vec_id, round(avg(v), 3) as mean_plddt from (select vec_id, round(abs(unnest(embedding)::double) * 100, 2) as v from embeddings) group by vec_id")
+def structure_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """Records with the score of the structure file that bears their id."""
+    p, t = scratch(spark), table(spark, d, "embeddings")
+    line = F.concat(F.lit("ATOM  "), F.lit(" " * 54), F.format_string("%6.2f", F.round(F.abs(F.col("x").cast("double")) * 100, 2)))
+    t.select("vec_id", F.explode("embedding").alias("x")).select("vec_id", line.alias("value")).repartition(4, "vec_id").sortWithinPartitions("vec_id").write.partitionBy("vec_id").text(p)
+    out = I.structure_by_id(I.read_structure_scores(spark, p), t.select("vec_id"), "vec_id", r"vec_id=(\d+)")
+    return out.select("vec_id", F.round("mean_plddt", 3).alias("mean_plddt"))
+
+
 @query("select event_id as step, round(value, 6) as loss from events where value is not null")
-def training_log_whole(spark: SparkSession, d: str) -> DataFrame:
+def training_log(spark: SparkSession, d: str) -> DataFrame:
     """A trainer's log of all events, in state files of bounded size, all of them read again."""
     p = scratch(spark)
     W.write_training_log(table(spark, d, "events"), p, "event_id", "value")
     return I.read_training_log(spark, p).select("step", F.round("loss", 6).alias("loss"))
 
 
-@query("select event_id as step, round(value, 6) as loss from events where value is not null order by event_id limit 500")
-def training_log(spark: SparkSession, d: str) -> DataFrame:
-    """The first 500 steps, as its SQL has it, of the whole log: every event is written and read."""
-    return training_log_whole(spark, d).orderBy("step").limit(500)
-
-
 @query(f"with {SQL_SPLITS} select count(*) as n, count(distinct seq) as n_unique, count(*) filter (where split = 'train') as train, count(*) filter (where split = 'valid') as valid, count(*) filter (where split = 'test') as test from splits")
 def split_report(spark: SparkSession, d: str) -> DataFrame:
     """A one-row report through its JSON file."""
@@ -190,7 +229,8 @@ def stream_metrics(spark: SparkSession, d: str) -> DataFrame:
     return T.metrics_stream(spark, f"{d}/events.parquet", "event_type", "value", f"{p}/out", f"{p}/checkpoint").withColumn("mean", F.round("mean", 6))
 
 
-@query()
+@query("""select date_trunc('day', ts)::timestamp as window_start, event_type, count(*) as n from events where ts is not null group by 1, 2
+ having date_trunc('day', ts)::timestamp + interval 1 day <= (select max(ts) from events) - interval 1 hour""")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Daily counts by type behind a watermark; the last windows stay open."""
     p = scratch(spark)
@@ -202,3 +242,21 @@ def stream_windows_whole(spark: SparkSession, d: str) -> DataFrame:
     """Daily counts by type of the whole table, with the windows that are still open when the input ends."""
     p = scratch(spark)
     return T.all_windowed_counts(spark, f"{d}/events.parquet", "ts", "event_type", "1 day", f"{p}/out", f"{p}/checkpoint")
+
+
+@query("select distinct sha256(regexp_replace(upper(coalesce(sequence, '')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g')) as sha256 from cas13_sequences where regexp_replace(upper(coalesce(sequence, '')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') <> ''")
+def stream_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """The same stream in two runs: the second goes on from the first one's checkpoint when the other half has arrived."""
+    p, t = scratch(spark), table(spark, d, "cas13_sequences")
+    second = F.pmod(F.xxhash64("id", "loaded_at", "sequence"), F.lit(2)) == 1
+    for half in (~second, second):
+        t.filter(half).write.mode("append").parquet(f"{p}/in")
+        out = T.dedup_stream(spark, f"{p}/in", "sequence", f"{p}/out", f"{p}/checkpoint")
+    return out.select("sha256")
+
+
+@query("select id, step, length(coalesce(sequence, ''))::int as n from candidates")
+def stream_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Arriving rows scored batch by batch, each batch kept once."""
+    p = scratch(spark)
+    return T.score_stream(spark, f"{d}/candidates.parquet", lambda b: b.select("id", "step", F.length(S.text("sequence")).alias("n")), f"{p}/out", f"{p}/checkpoint").select("id", "step", "n")

@@ -11,7 +11,7 @@ from ..operators import pairs as P
 from ..operators import policy as L
 from ..operators import scoring as O
 from ..runtime import table
-from .base import AA, SQL_CANDIDATES, SQL_FRACTION, SQL_PROBLEM, SQL_RECORDS, SQL_RUN, candidates, query, records, sql_canonical, sql_count, sql_motifs, sql_validity
+from .base import AA, SQL_CANDIDATES, SQL_FRACTION, SQL_PROBLEM, SQL_RECORDS, SQL_RUN, candidates, query, records, splits, sql_canonical, sql_count, sql_motifs, sql_validity
 
 POSITIONS = "list_transform(range(len(parts) - 1), lambda i: (list_sum(list_transform(parts[1:i + 1], lambda x: length(x))) + 6 * i)::int)"
 SQL_HARD = f"""{SQL_CANDIDATES}, m as (select *, length(s)::int as n, {sql_canonical('s')} as ok, string_split_regex(s, 'R[A-Z]{{4}}H') as parts, {SQL_FRACTION} as frac, {SQL_RUN} as run,
@@ -232,15 +232,48 @@ def gate_scatter(spark: SparkSession, d: str) -> DataFrame:
     return t.select("id", F.col("l.valid").alias("valid"), F.col("l.error").alias("error"), F.round("l.mean_logprob", 6).alias("mean_logprob"))
 
 
-@query(f"""with {SQL_CANDIDATES}, o as (select id, s, row_number() over (order by id) - 1 as ord from cand), k as (select ord, (ord % 7) / 10.0::double as kl from o where ord < 100)
- select id, round(coalesce(kl, 0), 6) as kl from o left join k using (ord)""")
+@query(f"""with {SQL_CANDIDATES}, o as (select id, row_number() over (order by id) - 1 as ord from cand), k as (select row_number() over (order by id) - 1 as ord, length(seq) as n from (select id, coalesce(sequence, '') as seq,
+ row_number() over (partition by id order by loaded_at) as rn from valid_seqs where id is not null) where rn = 1) select id, coalesce(n, 0)::int as n from o left join k using (ord)""")
 def positional_zip(spark: SparkSession, d: str) -> DataFrame:
-    """Rows zipped by ordinal; what the shorter side lacks is 0."""
+    """Candidates zipped by ordinal with the validation records; what the shorter side lacks is 0."""
     from ..operators.corpus import with_ordinal
 
-    o = with_ordinal(candidates(spark, d).select("id", "s"), ["id"])
-    k = o.filter("ord < 100").select("ord", (F.col("ord") % 7 / 10).alias("kl"))
-    return o.join(k, "ord", "left").select("id", F.round(F.coalesce("kl", F.lit(0.0)), 6).alias("kl"))
+    o = with_ordinal(candidates(spark, d).select("id"), ["id"])
+    k = with_ordinal(splits(spark, d).filter("split = 'valid'").select("id", F.length("seq").alias("n")), ["id"]).select("ord", "n")
+    return o.join(k, "ord", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+COUNTER = """import sys, json
+rows = [json.loads(x) for x in sys.stdin]
+for r in reversed(rows):
+    if len(r["sequence"]) > 2:
+        print(json.dumps({"sequence": r["sequence"], "score": len(r["sequence"]), "cysteines": r["sequence"].count("C")}))
+"""
+
+
+@query(f"with {SQL_CANDIDATES} select id, case when length(s) > 2 then length(s)::double end as score, case when length(s) > 2 then {sql_count('s', 'C')}::int end as cysteines, case when length(s) <= 2 then 'no result' end as error from cand")
+def command_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of a program that reverses its rows and drops the short ones; results are matched by sequence."""
+    out = O.external_scores(candidates(spark, d).select("id", "s"), "s", O.command_scorer(["python3", "-c", COUNTER]), "score double, cysteines int")
+    return out.select("id", "score", "cysteines", "error")
+
+
+def _strict(texts: list[str]) -> list[dict]:
+    if any(len(x) % 7 == 3 for x in texts):
+        raise ValueError("a length of the kind that fails")
+    return [{"score": float(len(x))} for x in texts]
+
+
+@query(f"with {SQL_CANDIDATES} select id, case when length(s) % 7 <> 3 then length(s)::double end as score, case when length(s) % 7 = 3 then 'ValueError: a length of the kind that fails' end as error from cand")
+def isolated_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A model that fails on some texts costs those rows alone, whatever batch they are in."""
+    return O.external_scores(candidates(spark, d).select("id", "s"), "s", _strict, "score double", batch=16).select("id", "score", "error")
+
+
+@query("select coalesce(max(step), 0)::int as step from candidates")
+def resume_cursor(spark: SparkSession, d: str) -> DataFrame:
+    """The step a loop goes on from: the last one logged."""
+    return spark.createDataFrame([(L.resume_step(table(spark, d, "candidates")),)], "step int")
 
 
 # Loop arithmetic

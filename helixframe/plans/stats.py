@@ -39,25 +39,8 @@ def top_subtypes(spark: SparkSession, d: str) -> DataFrame:
  select key, count(*) as n from k group by key""")
 def key_frequency(spark: SparkSession, d: str) -> DataFrame:
     """How often each key occurs at the root of the payloads that are objects."""
-    t = table(spark, d, "atlas_raw").select("payload").filter(F.col("payload").rlike(r"^\s*\{"))
-    from ..operators.nested import parse
-
-    valid = _valid_json(t, parse)
-    return valid.select(F.explode(F.json_object_keys("payload")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-
-
-def _valid_json(t: DataFrame, parse) -> DataFrame:
-    """The rows whose payload is one complete JSON text; the JVM's parsers accept text after it."""
-    import pandas as pd
-    from ..runtime import ship
-
-    ship(t.sparkSession)
-
-    def run(it):
-        for b in it:
-            yield pd.DataFrame({"payload": pd.Series([x for x in b["payload"] if parse(x)[0]], dtype=object)})
-
-    return t.mapInPandas(run, "payload string")
+    v = table(spark, d, "atlas_raw").select(F.try_parse_json("payload").alias("v"), F.json_object_keys("payload").alias("k")).filter("v is not null and startswith(schema_of_variant(v), 'OBJECT')")
+    return v.select(F.explode("k").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
 
 
 @query(f"with {SQL_KEYWORD} select gene_name as value, count(*) as n from (select coalesce(gene_name, '') as gene_name, row_id, gene_index from kw where sequence <> '') group by 1 order by n desc, min(struct_pack(a := row_id, b := gene_index)) limit 20")

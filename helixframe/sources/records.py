@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+from .files import first_letter, open_text, write_text
+
 FASTA_ENDS = (".fa", ".faa", ".fasta")  # fixed value
 
 
@@ -26,25 +31,21 @@ def read_jsonl_tolerant(spark: SparkSession, path: str) -> tuple[DataFrame, Data
 
 
 def _first_letters(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
-    """Files below path that begin with a header, and those that don't."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    with_header, without = [], []
-    for root in fs.globStatus(p) or []:
-        for st in fs.listStatus(root.getPath()) if root.isDirectory() else [root]:
-            name = st.getPath().getName()
-            if st.isDirectory() or name[:1] in "._":
-                continue
-            f = fs.open(st.getPath())
-            try:
-                c = f.read()
-                while c in (9, 10, 13, 32):
-                    c = f.read()
-            finally:
-                f.close()
-            (with_header if c == ord(">") else without).append(st.getPath().toString())
-    return with_header, without
+    """Files below path that begin with a header, and those that don't. The driver lists the files; tasks open them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [st for root in fs.globStatus(p) or [] for st in (fs.listStatus(root.getPath()) if root.isDirectory() else [root])]
+    names = [st.getPath().toString() for st in found if not st.isDirectory() and st.getPath().getName()[:1] not in "._"]
+    if not names:
+        return [], []
+    ship(spark)
+
+    def look(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            yield b.assign(header=[first_letter(x) == ">" for x in b["path"]])
+
+    rows = spark.createDataFrame([(x,) for x in names], "path string").repartition(min(len(names), 1000)).mapInPandas(look, "path string, header boolean").collect()
+    return [r.path for r in rows if r.header], [r.path for r in rows if not r.header]
 
 
 def _entries(spark: SparkSession, path: str) -> DataFrame:
@@ -87,7 +88,9 @@ def read_csv(spark: SparkSession, path: str, sequence_column: str, id_column: st
     df = r.csv(path)
     if id_column:
         return df.select(F.col(id_column).alias("id"), F.col(sequence_column).alias("sequence"))
-    return df.select(F.monotonically_increasing_id().cast("string").alias("id"), F.col(sequence_column).alias("sequence"))  # multiLine: one task a file
+    # with multiLine one task reads a file from beginning to end, among other files perhaps
+    at = df.select(F.col(sequence_column).alias("sequence"), F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("n"))
+    return at.select((F.row_number().over(Window.partitionBy("f").orderBy("n")) - 1).cast("string").alias("id"), "sequence")
 
 
 def read_records(spark: SparkSession, path: str, sequence_column: str = "sequence", id_column: str | None = "id", limit: int | None = None) -> DataFrame:
@@ -118,10 +121,10 @@ def read_structure_scores(spark: SparkSession, path: str) -> DataFrame:
     return t.groupBy("file").agg(F.avg(v).alias("mean_plddt"), F.count(v).alias("atoms"))
 
 
-def structure_by_id(scores: DataFrame, records: DataFrame, id_col: str) -> DataFrame:
-    """Records with the score of the structure file that bears their id; null if there is none."""
-    named = scores.select(F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("__f"), "mean_plddt")
-    return records.join(named, records[id_col] == named["__f"], "left").drop("__f")
+def structure_by_id(scores: DataFrame, records: DataFrame, id_col: str, name: str = r"([^/]+?)(?:\.[^./]*)?$") -> DataFrame:
+    """Records with the score of the structure file that bears their id; null if there is none. name finds the id in a path."""
+    named = scores.select(F.regexp_extract("file", name, 1).alias("__f"), "mean_plddt")
+    return records.join(named, records[id_col].cast("string") == named["__f"], "left").drop("__f")
 
 
 def read_training_log(spark: SparkSession, path: str) -> DataFrame:
@@ -133,7 +136,7 @@ def read_training_log(spark: SparkSession, path: str) -> DataFrame:
 
 def read_config(path: str) -> dict:
     """YAML (if the library is there) or JSON settings; an empty file gives {}."""
-    with open(path, encoding="utf-8") as f:
+    with open_text(path) as f:
         text = f.read()
     try:
         import yaml
@@ -161,8 +164,7 @@ def write_config(config: dict, path: str) -> None:
         text = json.dumps(config, sort_keys=True, indent=2)
     else:
         text = yaml.safe_dump(config, sort_keys=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+    write_text(path, text)
 
 
 def write_calibration(quantiles: dict[str, tuple[float, float]], path: str) -> None:

@@ -21,23 +21,36 @@ def read_stream(spark: SparkSession, path: str, kind: str = "parquet", schema=No
     return r.load(path if "*" in path else f"{path.rstrip('/')}*")  # only a pattern may stand for a single file
 
 
-def dedup_stream(spark: SparkSession, path: str, seq_col: str, out: str, checkpoint: str, kind: str = "parquet") -> DataFrame:
-    """The first row to arrive of each cleaned sequence, appended to out; state is one 32-byte key a sequence, spread over
-    the shuffle partitions. A restart goes on where it stopped. Returns what out holds."""
+def _batch(df: DataFrame, out: str, n: int) -> None:
+    """A batch in a folder of its own, so that one that is run again after a failure replaces itself."""
+    df.write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+
+def _last(spark: SparkSession, out: str) -> DataFrame:
+    every = spark.read.parquet(out)
+    return every.filter(F.col("batch") == every.agg(F.max("batch")).first()[0]).drop("batch")
+
+
+def dedup_stream(spark: SparkSession, path: str, seq_col: str, out: str, checkpoint: str, kind: str = "parquet", at: str | None = None, within: str | None = None) -> DataFrame:
+    """The first row to arrive of each cleaned sequence, appended to out. A restart goes on where it stopped. Returns what out
+    holds. State is one 32-byte key a sequence, spread over the shuffle partitions; with a time column and a span, keys are
+    forgotten once the watermark has passed them by that span, which bounds the state, and a sequence may come again."""
     s = read_stream(spark, path, kind).withColumn("clean", S.clean(seq_col)).filter("clean <> ''").withColumn("sha256", S.content_hash("clean"))
-    _run(s.dropDuplicates(["sha256"]).writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
+    once = s.withColumn("__t", F.col(at).cast("timestamp")).withWatermark("__t", within).dropDuplicatesWithinWatermark(["sha256"]).drop("__t") if at and within else s.dropDuplicates(["sha256"])
+    _run(once.writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
     return spark.read.parquet(out)
 
 
 def metrics_stream(spark: SparkSession, path: str, key: str, value: str, out: str, checkpoint: str, kind: str = "parquet", schema=None) -> DataFrame:
-    """Running count, mean, min and max of value by key over an append-only log; out holds the state after each batch."""
+    """Running count, mean, min and max of value by key over an append-only log, after the last batch; out holds the state
+    after each batch in a folder of its own."""
 
-    def save(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def save(batch: DataFrame, n: int) -> None:
+        _batch(batch, out, n)
 
     agg = read_stream(spark, path, kind, schema).groupBy(key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
     _run(agg.writeStream.outputMode("complete").foreachBatch(save), checkpoint)
-    return spark.read.parquet(out)
+    return _last(spark, out)
 
 
 def windowed_counts(spark: SparkSession, path: str, at: str, key: str, width: str, late: str, out: str, checkpoint: str) -> DataFrame:
@@ -53,20 +66,20 @@ def all_windowed_counts(spark: SparkSession, path: str, at: str, key: str, width
     """Counts by event-time window and key of all rows so far, open windows and late rows too; out holds the state after each
     batch, and all windows stay in it."""
 
-    def save(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def save(batch: DataFrame, n: int) -> None:
+        _batch(batch, out, n)
 
     s = read_stream(spark, path).withColumn("__t", F.col(at).cast("timestamp"))
     agg = s.groupBy(F.window("__t", width).alias("w"), F.col(key)).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), key, "n")
     _run(agg.writeStream.outputMode("complete").foreachBatch(save), checkpoint)
-    return spark.read.parquet(out)
+    return _last(spark, out)
 
 
 def score_stream(spark: SparkSession, path: str, score, out: str, checkpoint: str, kind: str = "parquet") -> DataFrame:
-    """Each arriving batch scored and appended: score takes and gives a DataFrame."""
+    """Each arriving batch scored and added to out, once, also if it is run again: score takes and gives a DataFrame."""
 
     def save(batch: DataFrame, n: int) -> None:
-        score(batch).withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
+        _batch(score(batch), out, n)
 
     _run(read_stream(spark, path, kind).writeStream.foreachBatch(save), checkpoint)
     return spark.read.parquet(out)

@@ -116,8 +116,8 @@ def test_training_log_query_writes_every_event(spark, data, monkeypatch):
 
     read = []
     monkeypatch.setattr(P.I, "read_training_log", lambda s, p, old=I.read_training_log: read.append(old(s, p)) or read[-1])
-    assert P.training_log(spark, data).count() == 500
-    assert read[0].count() == spark.read.parquet(f"{data}/events.parquet").filter("value is not null").count()
+    n = P.training_log(spark, data).count()
+    assert n == read[0].count() == spark.read.parquet(f"{data}/events.parquet").filter("value is not null").count()
 
 
 def test_settings(tmp_path):
@@ -190,3 +190,51 @@ def test_keyword_corpus_writes_all_sinks(spark, data, tmp_path):
     W.write_fasta(r, str(tmp_path / "f"))
     n = r.count()
     assert n > 0 and spark.read.json(str(tmp_path / "j")).count() == n and I.read_fasta(spark, str(tmp_path / "f")).count() == n
+
+
+def test_array_elements_are_searched_once_and_checked():
+    long = json.dumps([{"k": "\\\" ] } " * 50, "n": list(range(200))}] * 40)
+    pieces = lambda text, k: iter([text[i : i + k] for i in range(0, len(text), k)])
+    assert [json.loads(x) for x in J.elements(pieces(long, 5))] == json.loads(long)
+    (deep,) = J.elements(iter(["[" + "[" * 30_000, "]" * 30_000 + "]"]))
+    assert len(deep) == 60_000
+    for bad in ('[{"a": }, 1]', "[tru, 1]", '["a\\', "[1,]"):
+        with pytest.raises(ValueError):
+            list(J.elements(iter([bad])))
+
+
+def test_order_of_keys_is_kept(spark):
+    docs = spark.createDataFrame([(1, '{"z": {"a": 1}, "b": 2, "a": {"a": 3}}')], "k int, t string")
+    got = J.documents_to_operons(docs, "k", "t").select("ord", F.expr("try_variant_get(value, '$.a', 'int')").alias("a")).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1), (2, 3)]
+
+
+def test_rows_of_several_files_are_numbered_by_file(spark, tmp_path):
+    for name, n in (("a", 3), ("b", 2)):
+        (tmp_path / f"{name}.csv").write_text("seq\n" + "".join(f"{name.upper()}{i}\n" for i in range(n)))
+    got = sorted((r.sequence, r.id) for r in I.read_csv(spark, str(tmp_path), "seq").collect())
+    assert got == [("A0", "0"), ("A1", "1"), ("A2", "2"), ("B0", "0"), ("B1", "1")]
+
+
+def test_a_batch_that_is_run_again_is_kept_once(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for _ in range(2):
+        T._batch(spark.createDataFrame([(1,), (2,)], "id int"), out, 0)
+    T._batch(spark.createDataFrame([(3,)], "id int"), out, 1)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3] and [r.id for r in T._last(spark, out).collect()] == [3]
+
+
+def test_dedup_with_bounded_state(spark, tmp_path):
+    src = str(tmp_path / "in")
+    spark.createDataFrame([("2024-01-01", "ACD"), ("2024-01-01", "acd"), ("2024-01-02", "EF")], "t string, sequence string").selectExpr("cast(t as timestamp) as t", "sequence").coalesce(1).write.parquet(src)
+    out = T.dedup_stream(spark, src, "sequence", str(tmp_path / "out"), str(tmp_path / "ck"), at="t", within="1 hour")
+    assert sorted(r.clean for r in out.collect()) == ["ACD", "EF"]
+
+
+def test_required_sequence(spark):
+    from helixframe.functions import sequence as S
+
+    df = spark.createDataFrame([("", "B")], "a string, b string")
+    assert df.select(S.required(F.col("a"), F.col("b")).alias("x")).first().x == "B"
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        df.select(S.required(F.col("a"), F.lit(None)).alias("x")).collect()
