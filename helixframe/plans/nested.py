@@ -78,7 +78,21 @@ def p2_triples(spark: SparkSession, d: str) -> DataFrame:
     return N.json_triples(table(spark, d, "atlas_raw"), "row_id", "payload", RAW)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_operons, p2_genes, p2_domains, p2_motifs, p2_triples)}
+def p2_fields(spark: SparkSession, d: str) -> DataFrame:
+    """How many objects of the received payloads have each declared field, null or not, counted from the triples."""
+    t = p2_triples(spark, d)
+    declared = F.lit(False)
+    for x in RAW:
+        declared = declared | ((F.col("node_level") == x.name) & F.col("field_path").isin(*x.fields))
+    return t.filter(declared).groupBy("node_level", "field_path").agg(F.count("*").alias("n"), F.count("value").alias("n_filled"))
+
+
+def p2_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads that have no rows in any table, by reason."""
+    return N.rejects(table(spark, d, "atlas_raw"), "row_id", "payload").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_fields, p2_rejects, p2_operons, p2_genes, p2_domains, p2_motifs, p2_triples)}
 SQL: dict[str, str] = {}
 
 # The same tables in SQL. In atlas_raw a value counts as filled unless it is absent, null, or an empty array, object or text.
@@ -135,3 +149,22 @@ SQL |= {
  json_extract_string(j, '$.summary.subtype_score'), try_cast(json_extract_string(j, '$.summary.n_genes') as int), json_extract_string(j, '$.summary.contig.contig_id'),
  try_cast(json_extract_string(j, '$.summary.contig.length_bp') as bigint), json_extract_string(j, '$.summary.contig.strand') from op""",
 }
+
+
+def _sql_counts() -> str:
+    of = {"operon": "op", "gene": "ge", "domain": "dm", "motif": "mt"}
+    kind = lambda f: f"json_type(j, '$.{f}')"
+    rows = [(x.name, f, of[x.name]) for x in RAW for f in x.fields]
+    # an object is no leaf, and an array of objects is a group of its own
+    each = [
+        f"select '{n}' as node_level, '{f}' as field_path, count(*) as n, count(case when {kind(f)} <> 'NULL' then 1 end) as n_filled from {c} where {kind(f)} is not null and {kind(f)} <> 'OBJECT' "
+        f"and not ({kind(f)} = 'ARRAY' and len(list_filter(from_json(json_extract(j, '$.{f}'), '[\"json\"]'), lambda x: json_type(x) = 'OBJECT')) > 0)"
+        for n, f, c in rows
+    ]
+    return f"with {_sql_raw()} select * from (" + " union all ".join(each) + ") where n > 0"
+
+
+SQL |= {
+    "p2_fields": _sql_counts(),
+    "p2_rejects": "select case when payload is null then 'null' else 'not one complete JSON text' end as reason, count(*) as n from atlas_raw where payload is null or not json_valid(payload) group by 1",
+}

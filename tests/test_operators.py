@@ -316,3 +316,50 @@ def test_p2_found_uses_the_operator_of_the_tables(spark, data, monkeypatch):
         places = table(spark, data).filter("tbl = 'crispr_cas_atlas'").select("row_id", "node_path")
         mine = typed.filter(f"node_level = '{level}'").select("row_id", "node_path")
         assert mine.count() and mine.exceptAll(places).isEmpty() and places.exceptAll(mine).isEmpty()
+
+
+def test_stream_parser_against_the_library():
+    import random
+
+    r = random.Random(4)
+    texts = ["", " ", "1", "-0.5e+3", "01", "nul", "true", '"a\\u00e9\\n"', '"a', '"\n"', "[]", "{}", "[1,]", '{"a":1,}', '{"a" 1}', "[1 2]", "1 2", "[[]", "]", '{"a":{"b":[1,{"c":null}]}} ', "NaN", "[\x0b1]", '{1:2}', '{"a":1,"a":[2]}']
+
+    def value(d):
+        k = r.randrange(7 if d else 4)
+        if k < 4:
+            return r.choice([1, -2.5, "x \u20ac \"q\"", True, None, ""])
+        return [value(d - 1) for _ in range(r.randrange(4))] if k < 6 else {r.choice("abcde"): value(d - 1) for _ in range(r.randrange(4))}
+
+    for _ in range(300):
+        t = json.dumps(value(5), ensure_ascii=r.random() < 0.5, indent=r.choice([None, 1]))
+        texts += [t, t[: r.randrange(len(t) + 1)], t.replace(",", "", 1), t + r.choice([" ", "x", "]"])]
+
+    def plain(v, t):
+        if not isinstance(v, N.Node):
+            return v[0] if isinstance(v, tuple) else json.loads(v)
+        assert json.loads(t[v.start : v.end]) is not None
+        return [plain(x, t) for x in v.values] if v.keys is None else {k: plain(v.values[i], t) for k, i in v.keys.items()}
+
+    def no_constant(_):
+        raise ValueError
+
+    for t in texts:
+        try:
+            want = (True, json.loads(t, parse_constant=no_constant))
+        except ValueError:
+            want = (False, None)
+        ok, v = N.parse(t)
+        assert (ok, plain(v, t) if ok else None) == want, t
+
+
+def test_deep_payloads_and_undeclared_arrays(spark):
+    deep = '[{"operon_id": "a", "deep": ' + "[" * 20_000 + "]" * 20_000 + ', "cas": [{"gene_name": "g", "notes": [{"by": "x"}, 3, {"by": "y"}]}]}]'
+    df = spark.createDataFrame([(1, deep), (2, "{"), (3, None), (4, '{"operon_id": "b"} {}')], "row_id bigint, payload string")
+    nodes = N.json_nodes(df, "row_id", "payload", NQ.RAW)
+    assert {(r.node_level, r.node_path) for r in nodes.collect()} == {("operon", "0"), ("gene", "0.0")}
+    every = {(r.node_level, r.node_path): r.fields for r in N.json_nodes(df, "row_id", "payload", NQ.RAW, undeclared=True).collect()}
+    assert every[("[].cas[].notes[]", "0.0.2")] == {"by": "y"} and len(every) == 4
+    gene = N.json_level(nodes, NQ.GENE, rest="other").first()
+    assert gene.gene_name == "g" and gene.other == {}
+    assert N.json_level(nodes, NQ.OPERON, rest="other").first().other["deep"].startswith("[[[")
+    assert {(r.row_id, r.reason) for r in N.rejects(df, "row_id", "payload").collect()} == {(2, "not one complete JSON text"), (3, "null"), (4, "not one complete JSON text")}
