@@ -12,20 +12,105 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 
 
+#: Places of a sequence that go together; and rows of one length that a task adds up.
+PLACES, TOGETHER = 256, 20_000
+
+
+def _profiles(most: int = 400):
+    """mapInPandas function: pieces (b, m, piece) to counts (b, x, m, at, n): how often each letter stands at each place of
+    block b among the sequences of length m. Counted in the task over all its batches; `most` blocks are held at a time."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[int, int], list[np.ndarray]] = {}
+
+        def out() -> pd.DataFrame:
+            rows = []
+            for (b, m), parts in held.items():
+                code, n = np.unique(np.concatenate(parts), return_counts=True)
+                letter = code // PLACES
+                cuts = np.flatnonzero(np.diff(letter)) + 1
+                for x, at, k in zip(letter[np.concatenate([[0], cuts])], np.split(code % PLACES, cuts), np.split(n, cuts)):
+                    rows.append((b, int(x), m, at.astype(np.int16), k.astype(np.int64)))
+            held.clear()
+            return pd.DataFrame(rows, columns=["b", "x", "m", "at", "n"])
+
+        chars = 0
+        for batch in it:
+            for b, m, piece in zip(batch["b"], batch["m"], batch["piece"]):
+                held.setdefault((b, m), []).append(_codes(piece).astype(np.int64) * PLACES + np.arange(len(piece)))
+                chars += len(piece)
+                if chars > 4_000_000 or len(held) > most:
+                    yield out()
+                    chars = 0
+        if held:
+            yield out()
+
+    return run
+
+
+def _gains(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts sorted by (b, x) to (b, x, m, gain): what a sequence of length m gains from letter x at each place of block b.
+    What is held is one profile for each length that occurs with a letter."""
+    at, held = None, {}
+
+    def out() -> pd.DataFrame:
+        ms = np.array(sorted(held))
+        c = np.stack([held[m] for m in ms]).astype(float)
+        upto, each = np.cumsum(c, axis=0), c / ms[:, None]
+        beyond = np.cumsum(each[::-1], axis=0)[::-1] - each
+        gain = upto / ms[:, None] + beyond
+        return pd.DataFrame({"b": at[0], "x": at[1], "m": ms, "gain": list(gain)})
+
+    for batch in it:
+        for b, x, m, places, n in zip(batch["b"], batch["x"], batch["m"], batch["at"], batch["n"]):
+            if at != (b, x):
+                if held:
+                    yield out()
+                at, held = (b, x), {}
+            held.setdefault(m, np.zeros(PLACES, dtype=np.int64))[places] += n
+    if held:
+        yield out()
+
+
+def _added(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (b, m, part), gains before pieces, to (id, total): what each piece gains."""
+    at, gains = None, {}
+    for batch in it:
+        ids, totals = [], []
+        for b, m, part, x, gain, k, piece in zip(*[batch[c] for c in ("b", "m", "part", "x", "gain", "id", "piece")]):
+            if at != (b, m, part):
+                at, gains = (b, m, part), {}
+            if piece is None:
+                gains[int(x)] = gain
+            else:
+                codes = _codes(piece)
+                letters, which = np.unique(codes, return_inverse=True)
+                ids.append(k)
+                totals.append(float(np.stack([gains[int(c)] for c in letters])[which, np.arange(len(codes))].sum()))
+        yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "total": np.array(totals, dtype=float)})
+
+
 def mean_identity_sums(df: DataFrame, id_col: str, seq: Column) -> DataFrame:
     """id, s, total: total is the sum over all rows (itself included) of positional identity with the row.
 
     identity(a, b) = equal characters at equal places / max(length a, length b). With c(p, x, l) rows of length l that have
     character x at place p, a row of length m gains, for each of its (p, x), sum over l <= m of c / m + sum over l > m of
-    c / l. Both are running sums over l of a table with one row per (p, x, l); the work is linear in all characters."""
+    c / l. The work is linear in all characters. Sequences go in pieces of PLACES characters: letters are counted in the
+    tasks that read them, so that profiles by block, letter and length are shuffled, then the pieces themselves, once, to the
+    gains of their block and length. A length that very many rows have is added up in parts. Null ids keep a total of 0."""
+    ship(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), seq.alias("s")).withColumn("m", F.length("s"))
-    chars = rows.filter("m > 0").select("id", "m", F.posexplode(F.split("s", "")).alias("p", "x"))
-    c = chars.groupBy("p", "x", "m").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("p", "x").orderBy("m")
-    upto = F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    beyond = F.coalesce(F.sum(F.col("c") / F.col("m")).over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
-    gain = c.select("p", "x", "m", (upto / F.col("m") + beyond).alias("gain"))
-    total = chars.join(gain, ["p", "x", "m"]).groupBy("id").agg(F.sum("gain").alias("total"))
+    kind = rows.schema["id"].dataType.simpleString()
+    pieces = rows.filter("m > 0 and id is not null").select("id", "m", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / PLACES).cast("int"))).alias("b"), "s")
+    pieces = pieces.select("id", "m", "b", F.substring(F.col("s"), F.col("b") * PLACES + 1, F.lit(PLACES)).alias("piece"))
+    counts = rows.filter("m > 0").select("m", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / PLACES).cast("int"))).alias("b"), "s")
+    counts = counts.select("b", "m", F.substring(F.col("s"), F.col("b") * PLACES + 1, F.lit(PLACES)).alias("piece")).mapInPandas(_profiles(), "b int, x int, m int, at array<smallint>, n array<bigint>")
+    gains = counts.repartition("b", "x").sortWithinPartitions("b", "x").mapInPandas(_gains, "b int, x int, m int, gain array<double>")
+    parts = rows.filter("m > 0").groupBy("m").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("k"))  # one row a length
+    mine = pieces.join(parts, "m").select("b", "m", F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("part"), F.lit(1).alias("o"), F.lit(0).alias("x"), F.lit(None).cast("array<double>").alias("gain"), "id", "piece")
+    theirs = gains.join(parts, "m").select("b", "m", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"), F.lit(0).alias("o"), "x", "gain", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("string").alias("piece"))
+    both = mine.unionByName(theirs).repartition("b", "m", "part").sortWithinPartitions("b", "m", "part", "o")
+    total = both.mapInPandas(_added, f"id {kind}, total double").groupBy("id").agg(F.sum("total").alias("total"))
     return rows.join(total, "id", "left").select("id", "s", F.coalesce("total", F.lit(0.0)).alias("total"))
 
 

@@ -155,6 +155,17 @@ def test_diversity_against_all_pairs(spark):
     assert P.diversity_by_index(df.limit(0), "k", F.col("s")).count() == 0
 
 
+def test_diversity_of_long_sequences_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(P, "TOGETHER", 3)
+    r = random.Random(6)
+    seqs = ["".join(r.choice("ACDé🙂") for _ in range(r.choice([1, 255, 256, 257, 700]))) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(seqs)), "k int, s string")
+    got = {x.id: x.diversity for x in P.diversity_by_index(df, "k", F.col("s")).collect()}
+    for i, s in enumerate(seqs):
+        o = [1 - brute_identity(s, t) for j, t in enumerate(seqs) if j != i]
+        assert got[i] == pytest.approx(sum(o) / len(o))
+
+
 def test_nearest_identity(spark):
     r = random.Random(2)
     mk = lambda n: [(f"q{i}", "".join(r.choice("ACDE") for _ in range(r.randint(1, 30)))) for i in range(n)]
