@@ -30,7 +30,7 @@ _WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+')"
 _RUNS = "unnest(list_distinct(list_transform(range(greatest(len(w) - 11, 0)), lambda i: array_to_string(w[i + 1:i + 12], ' '))))"
 
 _HEX = "\\b(" + "|".join(f"[a-f]{{{k}}}[0-9][0-9a-f]{{{max(0, 5 - k)},}}" for k in range(5)) + "|[a-f]{5,}[0-9][0-9a-f]*)\\b"
-_EVEN = f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '<[^<>\\n]*>', chr(10), 'g'), '{_HEX}', '#', 'g'), '[0-9]+', '#', 'g'), '[ \\t\\x0B\\f]+', ' ', 'g')"""
+_EVEN = f"""regexp_replace(regexp_replace(regexp_replace(x, '{_HEX}', '#', 'g'), '[0-9]+', '#', 'g'), '[ \\t\\x0B\\f]+', ' ', 'g')"""
 
 _GROUPS = """recs as (select id, case when regexp_matches(operon_id, '[0-9]') then lower(trim(operon_id, chr(9) || chr(10) || chr(13) || ' ')) end as a, case when trim(sha256) <> '' then lower(sha256) end as b from cas13_sequences where id is not null),
  keys as (select id, 'a' || a as k from recs where a is not null union select id, 'b' || b from recs where b is not null), edges as (select distinct x.id as u, y.id as v from keys x join keys y using (k)),
@@ -57,7 +57,7 @@ SQL = {
  s as (select doc_id, item_id, (max(p) - min(p) + 12)::int as n_words from g group by doc_id, item_id, k) select item_id, count(distinct doc_id) as n_docs, max(n_words) as longest_words from s group by item_id""",
     "p7_found": f"""with d as (select distinct doc_id, {_RUNS} as r from (select doc_id, {_WORDS} as w from documents where text is not null)), i as (select distinct item_id, {_RUNS} as r from (select item_id, {_WORDS} as w from eval_items))
  select distinct doc_id, item_id from d join i using (r)""",
-    "p8_boilerplate": f"""with d as (select coalesce(source, '') as host, list_distinct(list_filter(list_transform(string_split_regex({_EVEN}, '[\\r\\n]+'), lambda x: trim(x, ' ')), lambda x: length(x) > 0)) as lines from documents where text is not null),
- n as (select host, count(*) as docs from d group by host), l as (select host, unnest(lines) as line from d where len(lines) > 1)
- select host, line, count(*) as n from l join n using (host) where length(line) >= 4 and len(string_split(line, ' ')) <= 14 group by host, line, docs having count(*) >= 3 and count(*) >= 0.002::double * docs""",
+    "p8_boilerplate": f"""with d as (select coalesce(source, '') as host, list_distinct(list_filter(string_split_regex(lower(regexp_replace(text, '<[^<>\\n]*>', chr(10), 'g')), '[\\r\\n]+'), lambda x: trim(x, ' ') <> '')) as lines from documents where text is not null),
+ n as (select host, count(*) as docs from d group by host), l as (select host, unnest(list_distinct(list_transform(list_filter(lines, lambda x: len(list_filter(string_split_regex(x, '[ \\t\\x0B\\f]+'), lambda w: w <> '')) between 1 and 14), lambda x: trim({_EVEN}, ' ')))) as line from d where len(lines) > 1)
+ select host, line, count(*) as n from l join n using (host) where length(line) >= 4 group by host, line, docs having count(*) >= 3 and count(*) >= 0.002::double * docs""",
 }

@@ -302,10 +302,11 @@ def boilerplate(docs: DataFrame, text_col: str, host_col: str, share: float = 0.
     Longer lines are sentences, which no document loses. A null host is a host. A text of one line has no boilerplate, so
     that copies of a short page don't make it furniture. Each host has fewer than (lines of its average document) / share
     such lines."""
-    bare = F.regexp_replace(F.lower(F.col(text_col)), r"<[^<>\n]*>", "\n")
-    even = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", "#"), r"\d+", "#"), r"[^\S\n\r]+", " ")
-    line = F.array_distinct(F.filter(F.transform(F.split(even, r"[\r\n]+"), lambda x: F.trim(x)), lambda x: F.length(x) > 0))
-    short = F.filter(line, lambda x: (F.length(x) >= 4) & (F.size(F.split(x, " ")) <= most_words))
+    bare = F.lower(F.regexp_replace(F.col(text_col), r"<[^<>\n]*+>", "\n"))
+    line = F.array_distinct(F.filter(F.split(bare, r"[\r\n]+"), lambda x: F.trim(x) != ""))
+    short = F.filter(line, lambda x: x.rlike(rf"^[^\S\n\r]*+(?:\S++[^\S\n\r]*+){{1,{most_words}}}+$"))  # a long line is left after its first words
+    even = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\b(?=[a-f]*+\d)[0-9a-f]{6,}+\b", "#"), r"\d++", "#"), r"[^\S\n\r]++", " ")
+    short = F.array_distinct(F.filter(F.transform(short, lambda x: F.trim(even(x))), lambda x: F.length(x) >= 4))
     d = docs.filter(F.col(text_col).isNotNull())
     n = d.select(_host(host_col).alias("host")).groupBy("host").agg(F.count("*").alias("docs"))
     lines = d.select(_host(host_col).alias("host"), F.explode(F.when(F.size(line) > 1, short)).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
