@@ -1,3 +1,6 @@
+import glob
+import os
+
 import pytest
 
 from helixframe.llm import queries
@@ -20,5 +23,14 @@ def test_runs_on_the_smallest_tables(spark, data, name):
         assert df.dtypes == COLUMNS[name]
     rows = df.collect()
     assert len(rows) > 0
+    if name in queries.oracle_sql():
+        duckdb = pytest.importorskip("duckdb")
+        c = duckdb.connect()
+        for p in glob.glob(f"{data}/*.parquet"):
+            c.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+        res = c.execute(queries.oracle_sql()[name])
+        names, cols = [x[0] for x in res.description], sorted(df.columns)
+        assert sorted(names) == cols
+        assert sorted(str([r[x] for x in cols]) for r in rows) == sorted(str([r[names.index(x)] for x in cols]) for r in res.fetchall())
     if name.endswith("_found"):
         assert len({tuple(r) for r in rows}) == len(rows)
