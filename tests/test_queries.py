@@ -42,7 +42,7 @@ def test_query(spark, data, duck, name):
 
 def test_every_query_has_sql_or_a_reason():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"p2_triples", "stream_windows"}
+    assert set(QUERIES) - set(SQL) == {"p2_triples"}
 
 
 def test_entry_without_the_optional_subpackage(spark, data):
