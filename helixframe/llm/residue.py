@@ -30,7 +30,9 @@ not found; forbidden; unauthorized; bad gateway; gateway time; service {|tempora
 {database|db} connection failed; unexpected error; went wrong; error occurred; that's an error; call to undefined; failed to load; timed out; {request|connection} timeout; restricted to members; maintenance
 {could not|couldn't|cannot|can't|can not} be {found|loaded|completed|reached|displayed|shown|processed|opened}; {has been|was|have been} {moved|removed|deleted|suspended}; not available {at the moment|right now}; {does not|doesn't} exist; no longer {available|exists}
 {can't|cannot} {find|reach|open|connect to}; could not find {the|this|that|your}; session {|has }expired; may not view; sign in to see; log in to; are you a robot; verify you are human; bandwidth limit exceeded; site connection is secure; quota exceeded; connection refused; dns error
-introuvable; n'existe pas; accès {refusé|interdit}; erreur interne; erreur est survenue; n'est pas {disponible|accessible}; a été {supprimé|déplacé|retiré}; indisponible; session a expiré; réservé{|e} aux membres; n'a pas pu être; délai d'attente; ne peut {|pas }être affiché
+{don't|do not} have permission; isn't working; account suspended; temporarily unable; connection was {interrupted|reset|refused}; {isn't|is not} available; {page|site|resource} {has been|was|is} {denied|blocked}; request blocked; could not be satisfied
+{database|db} error; error establishing; enable cookies; just a moment
+introuvable; n'existe {pas|plus}; accès {refusé|interdit}; erreur interne; erreur est survenue; n'est pas {disponible|accessible}; a été {supprimé|déplacé|retiré}; indisponible; session a expiré; réservé{|e} aux membres; n'a pas pu être; délai d'attente; ne peut {|pas }être affiché
 nicht gefunden; existiert nicht; zugriff verweigert; serverfehler; nicht geladen werden; nicht erreichbar; nicht verfügbar; nur für mitglieder; wartungsarbeiten; sitzung ist abgelaufen; schiefgelaufen; schief gelaufen; nicht angezeigt werden
 {wurde|ist} {gelöscht|entfernt|verschoben}; zeitüberschreitung; fehler {|ist }aufgetreten
 no encontrad{a|o}; no existe; acceso {denegado|prohibido}; error interno; no se pudo; no se ha {encontrado|podido}; fue {eliminad|movid}{a|o}; {no está|no} disponible; ha {caducado|expirado}; algo salió mal; {sólo|solo} para miembros; tiempo de espera
@@ -45,7 +47,7 @@ SCRIPT = "javascript; java-script; java script; js; script; scripts; scripting;
 NEED = """
 require; requires; required; need; needs; needed; enable; enabled; turn; turned; relies; rely; cannot work; won't work; doesn't work; does not work; stay empty; stays empty; disabled; blocked; switched off; must be; allow; allowed; does not support; without; activate
 benötigt; braucht; aktiviere; aktivieren; aktivieren sie; aktiviert; deaktiviert; funktioniert nicht; einschalten; erlauben; ohne; exige; nécessite; active; activez; activé; activer; désactivé; désactivés; fonctionne pas; autorisez; sans
-requiere; necesita; desactivado; funciona sin; permita; permítalos; permitir; active; activar; activado; habilite; habilitar; sin; requer; precisa; ative; ativar; desativado; sem; richiede; attivare; attiva; abilitare; disabilitato; senza; vereist; nodig; inschakelen; uitgeschakeld; zonder; wymaga; włącz; включите; отключен; 有効; 启用
+requiere; necesita; desactivado; funciona sin; permita; permítalos; permitir; active; activar; activado; habilite; habilitar; sin; requer; precisa; ative; ativar; desativado; sem; richiede; attivare; attiva; abilita; abilitare; disabilitato; senza; vereist; nodig; inschakelen; uitgeschakeld; zonder; wymaga; włącz; включите; отключен; 有効; 启用
 """
 FILLER = """
 {goes|go|stands|stand} here; not {|yet }written; pending; will follow; coming soon; to be {added|replaced|filled in|written|determined}; replace me; dummy; placeholder; sample {paragraph|text}; layout purposes; some body text; lorem text; under construction; your {text|content} here
@@ -56,7 +58,7 @@ try again; refresh; reload; been notified; administrator; check the address; che
 contact us; tente novamente; riprova; probeer het
 """
 #: Evidence by patterns: numbers of errors, forms to be filled in, messages that are a word alone.
-STATUS = re.compile(r"\b(?:error|erreur|fehler|errore|erro|fout|http|código|status)[\s:#-]*[45]\d\d\b|^\[?[45]\d\d\]?\s+\w+(?:\s\w+){0,3}$|\([45]\d\d\)?$|\bgone \(410\)", re.I)
+STATUS = re.compile(r"\b(?:error|erreur|fehler|errore|erro|fout|http|código|status)[\s:#-]*[45]\d\d\b|^\[?[45]\d\d\]?\s+\w+(?:\s\w+){0,3}$|\([45]\d\d\)?$|\bgone \(410\)|^(?:40[0-9]|410|429|50[0-4])$", re.I)
 ALONE = re.compile(r"^gone\b|\bheading \d+$|^(?:write|enter|insert|add) (?:a|an|your|the)\b.*\bhere$|^(?:(\w)\1{2,}\W*){3,}$")
 AUX_FORM = re.compile(r"\b(?:quote )?code(?: \S{1,12})?$|^some features|^won't work$|^(?:vorgang|código|incident) \w{1,12}$|^(?:whoops|oops|ups|oups|vaya|sorry)\W*$|^loading\b|^retry\b")
 #: What is typed in place of words.
@@ -191,7 +193,7 @@ def evidence(unit: str, words: list[str] | None = None, kinds: dict[str, int] |
     """Is a short unit (lower case, repeated words collapsed) a line of an error page, a script notice or filler?"""
     words = WORD.findall(unit) if words is None else words
     n = len(words)
-    if n >= 3 and (len(set(words)) == 1 or n >= 6 and len(set(words)) <= n // 3):
+    if n >= 3 and (len(set(words)) == 1 or n >= 6 and len(set(words)) <= n // 3) or n == 2 and tuple(words) in OPENING_PAIRS:
         return True
     latin = [w for w in words if w in LATIN]
     if n >= 3 and len(latin) >= 0.6 * n and sum(w not in WEAK for w in latin) >= n // 8 + 1:
@@ -206,10 +208,10 @@ def evidence(unit: str, words: list[str] | None = None, kinds: dict[str, int] |
 
 
 def imitates_latin(words: list[str]) -> bool:
-    """Do words, none of which is a function word of a living language, look like the filler text? At least half of them have a
-    Latin ending, and one in ten or more is of the standard text; or three in ten have one, and a pair of words of its
+    """Do words, none of which is a function word of a living language, look like the filler text? At least half of them are
+    of the standard text or have a Latin ending, and one in ten or more is of the standard text; or three in ten have one, and a pair of words of its
     opening stands there. Names of species have such endings, but not such words."""
-    n, strong, ends = len(words), sum(w in LATIN and w not in WEAK for w in words), sum(bool(ENDING.search(w)) for w in words)
+    n, strong, ends = len(words), sum(w in LATIN and w not in WEAK for w in words), sum(w in LATIN or bool(ENDING.search(w)) for w in words)
     return n >= 6 and (ends * 2 >= n and strong * 10 >= n or ends * 10 >= 3 * n and any(x in OPENING_PAIRS for x in zip(words, words[1:])))
 
 

@@ -100,9 +100,22 @@ HELD_OUT = [  # written down without looking at any table
     "お探しのページが見つかりません",
     "[404] Not found",
     "This site requires JavaScript to be enabled.",
+    "You don't have permission to access this resource.",
+    "This page isn't working",
+    "Please enable cookies.",
+    "Error establishing a database connection",
+    "Cette page n'existe plus",
+    "Per favore abilita JavaScript per continuare.",
+    "500 Internal Server Error\nnginx/1.18.0",
+    "Donec id elit non mi porta gravida at eget metus. Etiam porta sem malesuada magna mollis euismod.",
     '{"a": 1}\nDear {{ name }}, the samples were shipped on dry ice last week.',
 ]
 HELD_OUT_REAL = [
+    "The cookies in the lab were eaten before the meeting; nobody reported an error in the log of the run.",
+    "Maintenance of the cultures requires weekly passages and a careful check of the medium for contamination.",
+    "Access to the archive was denied to visitors until 1989, when the reading room opened to the public.",
+    "Gene | Length | Score\nCas13a | 404 | 0.9\nCas13b | 500 | 0.8",
+    "Leptotrichia wadei, Listeria seeligeri, Ruminococcus flavefaciens",
     "Bacillus subtilis, Staphylococcus aureus, Lactobacillus acidophilus, Clostridium perfringens, Streptococcus mutans, Enterococcus faecium",
     "Recruitment Investment Development Environment Management Department Equipment Agreement",
     "Gallia est omnis divisa in partes tres, quarum unam incolunt Belgae, aliam Aquitani, tertiam qui ipsorum lingua Celtae appellantur.",
