@@ -29,6 +29,10 @@ from . import kernels as K
 ALL_PAIRS = 1_000_000
 
 
+#: Characters of the texts whose sets a task keeps while it verifies; some 130 MB.
+HELD = 1_000_000
+
+
 def _sets(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray]:
     """The hashed q-letter substrings of each text, in a row, and their offsets; texts shorter than q have one."""
     codes, off = K.concat([t if len(t) >= q else t + "\0" * (q - len(t)) for t in texts])
@@ -119,17 +123,21 @@ def _verify(q: int, t: float):
     """Keeps pairs whose texts are equal or have a Jaccard similarity of t or more over distinct q-letter substrings."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in it:
-            sets: dict[str, set[str]] = {}
-
-            def of(x: str) -> set[str]:
-                s = sets.get(x)
-                if s is None:
-                    if len(sets) > 2000:
-                        sets.clear()
-                    s = sets[x] = {x[i : i + q] for i in range(len(x) - q + 1)}
-                return s
+        sets: dict[str, set[str]] = {}
+        held = 0
+
+        def of(x: str) -> set[str]:
+            nonlocal held
+            s = sets.get(x)
+            if s is None:
+                held += len(x)
+                if held > HELD:
+                    sets.clear()
+                    held = len(x)
+                s = sets[x] = {x[i : i + q] for i in range(len(x) - q + 1)}
+            return s
 
+        for b in it:
             good = []
             for x, y in zip(b["t1"], b["t2"]):
                 u, v = of(x), of(y)
