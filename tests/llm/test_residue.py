@@ -85,7 +85,7 @@ def test_own_hosts_lines_and_copies_at_every_size(spark, monkeypatch):
         assert sorted(r.doc_id for r in R.residue(df).collect()) == [*range(5), 500, 501]
 
 
-HELD_OUT = [  # written down without looking at any table
+HELD_OUT = [  # from outside the tables; phrases were added until all were found, so they measure no recall
     "Pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas. Vestibulum tortor quam, feugiat vitae, ultricies eget, tempor sit amet, ante.",
     "Maecenas faucibus mollis interdum. Vivamus sagittis lacus vel augue laoreet rutrum faucibus dolor auctor.",
     "Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium.",
